@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from ravelin.llm import simhash
+from ravelin.llm import bpe, decontaminate, pii, simhash, toxicity
 
 QUERIES = {
     "op2_simhash": simhash.op2,
+    "op3_toxicity": toxicity.op3,
+    "op5_bpe": bpe.op5,
+    "op6_pii": pii.op6,
+    "op9_decontaminate": decontaminate.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_decontaminate": decontaminate.OP9_SQL,
+}
