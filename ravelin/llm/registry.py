@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from ravelin.llm import bpe, decontaminate, pii, simhash, toxicity
+from ravelin.llm import bpe, decontaminate, matroska, pii, simhash, toxicity, warc
 
 QUERIES = {
     "op2_simhash": simhash.op2,
     "op3_toxicity": toxicity.op3,
+    "op4_matroska": matroska.op4,
     "op5_bpe": bpe.op5,
     "op6_pii": pii.op6,
     "op9_decontaminate": decontaminate.op9,
+    "op10_warc": warc.op10,
 }
 
 ORACLE_SQL = {
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op10_warc": warc.OP10_SQL,
 }

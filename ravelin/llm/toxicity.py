@@ -2,13 +2,14 @@
 
 Every distinct word of a batch runs through the intersection of the trie of offensive terms with the
 automaton that tolerates a term's allowed edits (made deterministic as it is used), so misspelled terms are
-found without comparing words with terms. Each occurrence is then judged by a window of words around it: quotation
-marks, reporting verbs and words about words speak for a quotation, second persons, shouting and other offensive
+found without comparing words with terms. Terms are whole words or stems, which stand for all words that begin so.
+Each occurrence is then judged by a window of words around it: quotation marks, reporting verbs and words about words speak for a quotation, second persons, shouting and other offensive
 terms nearby for abuse. A logistic model over a few sums of these window scores gives the probability.
 
 Fitting: of the labelled rows at most about `TRAIN_ROWS`, chosen by a hash of the id, are used (this bounds the
-driver's memory; nothing else is sampled). The lexicon starts from `SEEDS` and takes words that mark toxic training texts which
-the seeds don't explain. Weights are a maximum a posteriori fit around `PRIOR`, which alone holds without labels.
+driver's memory; nothing else is sampled). The lexicon starts from `SEEDS` and takes, greedily, stems that mark toxic training
+texts which it doesn't explain yet. How far a misspelling is to be trusted is learned for each form that the training
+texts hold. Weights are a maximum a posteriori fit around `PRIOR`, which alone holds without labels.
 
 Defined results: null, empty and wordless texts have no hits and get the score of that; repeated rows are scored
 each; repeated and conflicting labels each count as a training row, null labels are ignored; empty tables give an
@@ -30,8 +31,10 @@ from ravelin.runtime import materialize
 
 #: Offensive terms known beforehand.
 SEEDS = ("asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumbass", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
-#: Bounds of the fit: labelled rows, learned terms; a learned term's least share of unexplained toxic texts and least precision.
-TRAIN_ROWS, LEARNED_TERMS, LEAST_SHARE, LEAST_PRECISION = 20_000, 200, 0.05, 0.9
+#: Bounds of the fit: labelled rows, learned stems, stems considered, forms of misspellings.
+TRAIN_ROWS, LEARNED_STEMS, CONSIDERED, FORMS = 20_000, 200, 5_000, 5_000
+#: A learned stem's lengths, the least number and share of unexplained toxic texts that hold it, and its least precision.
+STEM_LENGTHS, LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = (4, 8), 5, 0.01, 0.95
 #: Words on each side of an occurrence that its window score looks at; probability from which a text is rejected.
 CONTEXT, THRESHOLD = 8, 0.7
 
@@ -40,14 +43,18 @@ _REPORTING = frozenset("said says say called calls call wrote writes quoted quot
 _SECOND = frozenset("you your yours yourself u ur du dich dein deine ihr euch tu te ton ta vous votre tú usted vosotros eres".split())
 _PAIRS = (("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"), ('"', '"'))
 
-FEATURES = ("bias", "abuse", "quoted", "strongest", "density", "misspelled")
+FEATURES = ("bias", "abuse", "quoted", "strongest", "density")
 #: Mean and precision of the weights before any label is seen.
-PRIOR = np.array([-4.0, 3.0, 0.6, 3.0, 1.0, -0.3])
-PRIOR_PRECISION = np.array([0.05, 0.05, 2.0, 0.05, 0.5, 1.0])
+PRIOR = np.array([-4.0, 3.0, 0.6, 3.0, 1.0])
+PRIOR_PRECISION = np.array([0.05, 0.05, 2.0, 0.05, 0.5])
+#: Trust in a form of a misspelling that was never seen, and how many texts that counts for.
+UNSEEN, UNSEEN_TEXTS = 0.5, 1.0
 
 
 def edits(term: str) -> int:
-    """Edits tolerated in a term."""
+    """Edits tolerated in a term; a stem is written with a * at its end."""
+    if term.endswith("*"):
+        return int(len(term) > 7)
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
@@ -56,25 +63,26 @@ class FuzzyTrie:
 
     def __init__(self, terms: Iterable[str]):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[str | None] = [None]
+        self.ends: list[list[str]] = [[]]
         self.allowed: list[int] = [0]  # most edits of any term below
         for term in sorted(set(terms)):
             node = 0
-            for c in term:
+            for c in term.rstrip("*"):
                 self.allowed[node] = max(self.allowed[node], edits(term))
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
-                    self.ends.append(None)
+                    self.ends.append([])
                     self.allowed.append(0)
                 node = self.children[node][c]
-            self.ends[node] = term
+            self.ends[node].append(term)
             self.allowed[node] = max(self.allowed[node], edits(term))
         self.alphabet = {c for kids in self.children for c in kids}
         self.states: dict[frozenset, int] = {}
         self.members: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
-        self.found: list[tuple[str, int] | None] = []
+        self.found: list[tuple[int, str] | None] = []  # when a word ends there
+        self.begun: list[tuple[int, str] | None] = []  # stems that the word has passed
         self.start = self._state({(0, 0)})
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
@@ -91,8 +99,10 @@ class FuzzyTrie:
             self.states[key] = len(self.members)
             self.members.append(key)
             self.moves.append({})
-            hits = [(spent, self.ends[node]) for node, spent in key if self.ends[node] is not None and spent <= edits(self.ends[node])]
-            self.found.append((min(hits)[1], min(hits)[0]) if hits else None)
+            hits = sorted((spent, term) for node, spent in key for term in self.ends[node] if spent <= edits(term))
+            stems = [x for x in hits if x[1].endswith("*")]
+            self.found.append(hits[0] if hits else None)
+            self.begun.append(stems[0] if stems else None)
         return self.states[key]
 
     def _move(self, state: int, c: str) -> int:
@@ -105,15 +115,20 @@ class FuzzyTrie:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its distance, if within what it tolerates."""
-        state = self.start
+        state, best = self.start, None
         for c in word:
             if c not in self.alphabet:
                 c = ""  # all other characters act alike
             moves = self.moves[state]
             state = moves[c] if c in moves else moves.setdefault(c, self._move(state, c))
             if not self.members[state]:
-                return None
-        return self.found[state]
+                break
+            if (stem := self.begun[state]) and (best is None or stem < best):
+                best = stem
+        else:
+            if (found := self.found[state]) and (best is None or found < best):
+                best = found
+        return best and (best[1], best[0])
 
 
 def _quoted_ranges(text: str, lo: int, hi: int) -> bool:
@@ -133,10 +148,11 @@ def _quoted_ranges(text: str, lo: int, hi: int) -> bool:
 
 
 class Scorer:
-    """Features of a text under a lexicon."""
+    """Features of a text under a lexicon; trust: how far each form of a misspelling is believed."""
 
-    def __init__(self, terms: Iterable[str]):
+    def __init__(self, terms: Iterable[str], trust: dict[str, float] | None = None):
         self.trie = FuzzyTrie(terms)
+        self.trust = trust or {}
         self.known: dict[str, tuple[str, int] | None] = {}
 
     def lookup(self, word: str) -> tuple[str, int] | None:
@@ -168,12 +184,12 @@ class Scorer:
 
     def features(self, text: str | None) -> list[float]:
         own = self.occurrences(text)
-        if not own:
-            return [1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
         direct = [x for x in own if x["quotation"] < 1]
-        net = [max(0.0, x["abuse"] - x["quotation"]) / (1 + 0.5 * x["distance"]) for x in direct]
-        per_word = 100 * len(direct) / max(1, len(_WORD.findall(text or "")))
-        return [1.0, math.log1p(sum(net)), math.log1p(len(own) - len(direct)), min(2.0, max(net, default=0.0)), math.log1p(per_word), sum(x["distance"] > 0 for x in own) / len(own)]
+        net = [max(0.0, x["abuse"] - x["quotation"]) * (self.trust.get(x["word"], UNSEEN) if x["distance"] else 1) for x in direct]
+        if not net:
+            return [1.0, 0.0, math.log1p(len(own)), 0.0, 0.0]
+        per_word = 100 * sum(net) / max(1, len(_WORD.findall(text)))
+        return [1.0, math.log1p(sum(net)), math.log1p(len(own) - len(direct)), min(2.0, max(net)), math.log1p(per_word)]
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -192,55 +208,104 @@ def held_out(column: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], list[float]]:
-    """(lexicon, weights), from the labels that aren't held out."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], dict[str, float], list[float]]:
+    """(lexicon, trust in forms, weights), from the labels that aren't held out."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     share = min(1.0, rows / max(1, usable.count()))
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")  # chosen: about `rows` of two numbers
-    lexicon = sorted({*SEEDS, *_learn_terms(sample)})
-    found = map_columns(sample, "features array<double>", _features(lexicon), keep=["toxic"]).toPandas()
+    lexicon = sorted({*SEEDS, *_learn_stems(sample)})
+    trust = _learn_trust(sample, lexicon)
+    found = map_columns(sample, "features array<double>", _features(lexicon, trust), keep=["toxic"]).toPandas()
     x, y = np.array(found.features.tolist(), dtype=float).reshape(-1, len(FEATURES)), found.toxic.to_numpy(dtype=float)
-    return lexicon, [float(v) for v in fit(x, y)]
+    return lexicon, trust, [float(v) for v in fit(x, y)]
 
 
-def _features(lexicon: list[str]):
+def _features(lexicon: list[str], trust: dict[str, float]):
     def start():
-        scorer = Scorer(lexicon)
+        scorer = Scorer(lexicon, trust)
         return lambda texts: [[scorer.features(t) for t in texts]]
 
     return start
 
 
-def _learn_terms(sample: DataFrame) -> list[str]:
-    """Words that mark toxic texts without seeds, by the number of distinct texts that hold them."""
+def _stems(wanted):
+    """Beginnings of each text's words: all (none for texts that seeds explain), or those of a broadcast set."""
+    shortest, longest = STEM_LENGTHS
 
     def start():
         scorer = Scorer(SEEDS)
 
         def call(texts, toxic):
-            own = [sorted(set(_WORD.findall((t or "").lower()))) for t in texts]
-            return own, [any(scorer.lookup(w) for w in words) for words in own]
+            out = []
+            for text, label in zip(texts, toxic):
+                words = set(_WORD.findall((text or "").lower()))
+                if wanted is None and (not label or any((m := scorer.lookup(w)) and not m[1] for w in words)):
+                    out.append(None)
+                    continue
+                stems = {w[:n] for w in words if w.isalpha() for n in range(shortest, min(longest, len(w)) + 1)}
+                out.append(sorted(stems if wanted is None else stems & wanted.value))
+            return [out]
 
         return call
 
-    words = map_columns(sample.select("text", "toxic").distinct().withColumn("label", F.col("toxic")), "words array<string>, seeded boolean", start, keep=["label"]).filter("label = 0 or not seeded")
-    words = materialize(words.withColumnRenamed("label", "toxic"), "words")
-    unexplained = words.filter("toxic = 1").count()
-    if not unexplained:
+    return start
+
+
+def _learn_stems(sample: DataFrame) -> list[str]:
+    """Stems that mark toxic texts without seeds: the one in most unexplained texts first, then what it leaves."""
+    texts = sample.distinct()
+    plain = materialize(map_columns(texts.withColumn("label", F.col("toxic")), "stems array<string>", _stems(None), keep=["label"]).filter("label = 1 and stems is not null").withColumn("text_no", F.monotonically_increasing_id()), "stems")
+    least = max(LEAST_TEXTS, LEAST_SHARE * plain.count())
+    each = plain.select("text_no", F.explode("stems").alias("stem"))
+    bad = {r.stem: r.bad for r in each.groupBy("stem").agg(F.count(F.lit(1)).alias("bad")).filter(F.col("bad") >= least).toLocalIterator()}  # each in a hundredth of the texts
+    if not bad:
         return []
-    counts = words.select("toxic", F.explode("words").alias("word")).filter("length(word) between 3 and 40").groupBy("word").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
-    good = counts.filter((F.col("bad") >= max(8, LEAST_SHARE * unexplained)) & (F.col("bad") >= LEAST_PRECISION * F.col("all")))
-    return [r.word for r in good.orderBy(F.desc("bad"), "word").limit(LEARNED_TERMS).collect()]
+    others = map_columns(texts.filter("toxic = 0"), "stems array<string>", _stems(sample.sparkSession.sparkContext.broadcast(frozenset(bad)))).select(F.explode("stems").alias("stem"))
+    good = {r.stem: r.good for r in others.groupBy("stem").agg(F.count(F.lit(1)).alias("good")).toLocalIterator()}
+    sure = sorted((s for s, n in bad.items() if n >= LEAST_PRECISION * (n + good.get(s, 0))), key=lambda s: (-bad[s], -len(s), s))[:CONSIDERED]
+    where: dict[str, set[int]] = {}
+    for r in each.filter(F.col("stem").isin(sure)).toLocalIterator():
+        where.setdefault(r.stem, set()).add(r.text_no)
+    chosen: list[str] = []
+    while where and len(chosen) < LEARNED_STEMS:
+        stem = max(where, key=lambda s: (len(where[s]), len(s), s))
+        if len(where[stem]) < least:
+            break
+        chosen.append(stem + "*")
+        explained = where[stem]
+        where = {s: rest for s, texts in where.items() if (rest := texts - explained)}
+    return chosen
+
+
+def _learn_trust(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
+    """For the commonest misspellings in texts without an exact term: the share of toxic ones among those texts."""
+
+    def start():
+        scorer = Scorer(lexicon)
+
+        def call(texts):
+            out = []
+            for text in texts:
+                hits = {w: m for w in set(_WORD.findall((text or "").lower())) if (m := scorer.lookup(w))}
+                out.append([] if any(not m[1] for m in hits.values()) else sorted(hits))
+            return [out]
+
+        return call
+
+    forms = map_columns(sample.distinct(), "forms array<string>", start, keep=["toxic"]).select("toxic", F.explode("forms").alias("form"))
+    counts = forms.groupBy("form").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
+    rows = counts.orderBy(F.desc("all"), "form").limit(FORMS).collect()
+    return {r.form: (r.bad + UNSEEN * UNSEEN_TEXTS) / (r["all"] + UNSEEN_TEXTS) for r in rows}
 
 
-def scores(docs: DataFrame, model: tuple[list[str], list[float]], keep: list[str]) -> DataFrame:
+def scores(docs: DataFrame, model: tuple[list[str], dict[str, float], list[float]], keep: list[str]) -> DataFrame:
     """The columns to keep and `toxic_score`."""
-    lexicon, weights = model
+    lexicon, trust, weights = model
 
     def start():
-        scorer, w = Scorer(lexicon), np.array(weights)
+        scorer, w = Scorer(lexicon, trust), np.array(weights)
 
         def call(texts):
             if not texts:
