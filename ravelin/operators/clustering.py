@@ -86,8 +86,8 @@ def cluster_sums(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray,
 
 
 def means(sizes: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Normalized means; a zero sum stays a zero vector."""
-    return kernels.unit(sums / np.maximum(sizes, 1)[:, None] / UNITS)
+    """Normalized means in single precision, so that scores are sums of exact products; a zero sum stays a zero vector."""
+    return kernels.unit(sums / np.maximum(sizes, 1)[:, None] / UNITS).astype(np.float32).astype(np.float64)
 
 
 def lloyd_step(vectors: DataFrame, centroids: np.ndarray, seed: int = 123) -> np.ndarray:

@@ -215,7 +215,8 @@ def _with() -> str:
             parts += [
                 f"s{i} AS (SELECT cid, pos, CAST(CAST(sum(CAST(floor(v[pos] * {UNITS} + 0.5) AS BIGINT)) AS BIGINT) AS DOUBLE) / count(*) / {UNITS}.0 AS m FROM a{i}, unnest(range(1, len(v) + 1)) AS t(pos) GROUP BY cid, pos)",
                 f"m{i} AS (SELECT cid, list(m ORDER BY pos) AS m FROM s{i} GROUP BY cid)",
-                f"c{i + 1} AS MATERIALIZED (SELECT cid, {_UNIT.format(v='m')} AS c FROM m{i})",
+                f"u{i} AS (SELECT cid, m, sqrt(list_reduce(list_transform(m, lambda y: y * y), lambda s, y: s + y)) AS norm FROM m{i})",
+                f"c{i + 1} AS MATERIALIZED (SELECT cid, list_transform(m, lambda y: CAST(CAST(y / CASE WHEN norm = 0 THEN 1 ELSE norm END AS FLOAT) AS DOUBLE)) AS c FROM u{i})",
             ]
     last = PASSES
     parts += [

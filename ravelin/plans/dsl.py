@@ -10,6 +10,7 @@ centroids), and RET returns a register as it is.
 
 from __future__ import annotations
 
+import re
 import shlex
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -127,7 +128,7 @@ def parse_line(text: str, number: int) -> Instruction | None:
 
 def assemble(source: str) -> Program:
     """SyntaxError for unknown instructions, wrong numbers of operands, or a program that doesn't end with RET."""
-    parsed = (parse_line(text, i) for i, text in enumerate(source.splitlines(), start=1))
+    parsed = (parse_line(text, i) for i, text in enumerate(re.split(r"\r\n|\r|\n", source), start=1))  # other separators may stand in values
     instructions = tuple(x for x in parsed if x is not None)
     if not instructions or instructions[-1].op != "RET":
         raise SyntaxError("the last instruction must be RET")
