@@ -62,6 +62,8 @@ def visible_text(page: str | None) -> str:
             if stop >= 0:
                 out.append(page[at : m.start()])
                 at = stop + len(end)
+                if end != "-->":  # what the closing tag still holds
+                    at = max(at, lowered.find(">", at) + 1)
     out.append(page[at:])
     return html.unescape(_TAG.sub(" ", " ".join(out)))
 
@@ -129,7 +131,7 @@ def held_out() -> F.Column:
 def text_scores(text: str | None, table: np.ndarray) -> list[float]:
     """Tempered log-likelihoods, the best being 0."""
     at = trigrams(text)
-    if not len(at):
+    if not len(at) or not len(table):
         return [0.0] * len(table)
     scores = np.array([row[at].sum(dtype=np.float64) for row in table]) * len(at) ** (EXPONENT - 1)
     return (scores - scores.max()).tolist()

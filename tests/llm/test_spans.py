@@ -1,0 +1,166 @@
+"""Personal data and secrets."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import string
+
+import edge
+import numpy as np
+import pytest
+
+from ravelin.llm import pii, secrets
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+HEX = re.compile(r"[0-9a-f]+")
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(map(int, reversed(digits))):
+        total += sum(divmod(2 * d, 10)) if i % 2 else d
+    return total % 10 == 0
+
+
+def digits(s):
+    return "".join(c for c in s if c in string.digits)
+
+
+def brute_pii(t):
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [("card", *m.span()) for m in CARD.finditer(t) if 14 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))]
+    out += [("phone", *m.span()) for m in PHONE.finditer(t) if 10 <= len(digits(m.group())) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.BASE.index(s[0])))
+
+
+def brute_secrets(t):
+    out = [("assign", *m.span()) for m in ASSIGN.finditer(t) if len(m.group(2)) >= 6]
+    out += [("access", *m.span()) for m in ACCESS.finditer(t) if len(m.group()) >= 20]
+    out += [("hex", *m.span()) for m in HEX.finditer(t) if len(m.group()) >= 24]
+    return sorted(out, key=lambda s: (s[1], secrets.BASE.index(s[0])))
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+PIECES = ["a.b@c.de", "@", ".", "x@y", "@@", "1.2.3.4", "256.1.1.1", "1.2.3", "007.010.255.0", "4111 1111 1111 1111", "4111111111111112", "5500-0000-0000-0004", "+49 (170) 123-4567", "+1", "++44 20 7946 0958 ", "é", " ", "-", "password=", "Token : '", "API_KEY=\"", "apikey:", "ſecret=abcdefg", "AKIA", "ABCDEFGHIJKLMNOP1234", "deadbeef", "0123456789abcdef01234567", "abc", "0" * 30]
+
+
+def test_base_spans_equal_the_patterns():
+    rnd = random.Random(5)
+    for _ in range(6000):
+        t = "".join(rnd.choice(PIECES) for _ in range(rnd.randrange(9)))
+        assert sorted(pii.base_spans(t)[0], key=lambda s: (s[1], pii.BASE.index(s[0]))) == brute_pii(t), t
+        assert sorted(secrets.base_spans(t), key=lambda s: (s[1], secrets.BASE.index(s[0]))) == brute_secrets(t), t
+    for alphabet in ("a@.b1- é+", "12.0 -", "+1 (2)-3", "0123456789abcdefg"):
+        for _ in range(3000):
+            t = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60)))
+            assert sorted(pii.base_spans(t)[0], key=lambda s: (s[1], pii.BASE.index(s[0]))) == brute_pii(t), t
+
+
+def test_hard_texts_take_linear_time():
+    for t in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "a@" * 200_000, "+1" * 200_000, "token " * 60_000, "f" * 400_000, "Mr " * 100_000):
+        pii.scan(t)
+        secrets.base_spans(t)
+
+
+def test_labelers_agree_in_the_end():
+    votes = {("name", "+++0-"): 5, ("name", "+00+0"): 400, ("name", "000--"): 300, ("iban", "+0+00"): 50, ("iban", "+0-00"): 40}
+    share, right, soft = pii.em(votes)
+    assert set(share) == {"name", "iban"} and ((right > 0.5) & (right < 1)).all()
+    assert soft["name", "+00+0"] > 0.8 > 0.2 > soft["name", "000--"]
+    assert pii.em({})[2] == {} and len(pii.train({})) == len(pii.train(votes))
+    rnd = random.Random(1)  # planted reliabilities are found again
+    planted, counts = [0.9, 0.75, 0.95, 0.8, 0.85], {}
+    for _ in range(20_000):
+        real = rnd.random() < 0.5
+        pattern = "".join("0" if rnd.random() < 0.3 else "+" if (rnd.random() < p) == real else "-" for p in planted)
+        counts["name", pattern] = counts.get(("name", pattern), 0) + 1
+    assert pii.em(counts)[1] == pytest.approx(planted, abs=0.03)
+
+
+def test_added_spans_and_redaction(spark):
+    text = "Contact Mr. Thomas Müller, phone (555) 234-5678, DE89 3704 0044 0532 0130 00, jane at example dot com, a@b.co and version 999.1.1.1"
+    base, extra = pii.scan(text)
+    assert [k for k, *_ in base] == ["email"]
+    assert {"name", "local_phone", "iban", "spelled_email", "ip_like"} == {e[0] for e in extra}
+    docs = edge.documents(spark, [text] * 5 + ["nothing here"], extra=True)
+    clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert "[EMAIL]" in clean[0].text and "[NAME]" in clean[0].text and "[IBAN]" in clean[0].text and "[IP_LIKE]" not in clean[0].text
+    assert clean[0].n_chars == len(clean[0].text) and clean[5].text == "nothing here" and pii.redact(docs).columns == docs.columns
+    assert pii.redact_text("abcdef", [{"kind": "ip", "start": 1, "end": 4}, {"kind": "card", "start": 2, "end": 5}]) == "a[IP]f"
+
+
+def test_pii_edges(spark):
+    docs = edge.documents(spark, extra=True)
+    rows = {r.doc_id: r for r in pii.report(docs).collect()}
+    for i, t in enumerate(edge.TEXTS):
+        want = brute_pii(t or "")
+        assert rows[i].base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert [rows[i][f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in want) for k in pii.BASE]
+        assert set(joined(want).split(",")) <= set(rows[i].spans.split(","))
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] is None and clean[1] == "" and clean[7] == edge.LONG
+    empty = edge.documents(spark, [])
+    assert pii.report(empty).count() == 0 and pii.redact(empty).count() == 0
+
+
+def test_pii_query_on_the_fixture(spark, data):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in pii.op6(spark, data).collect():
+        want = brute_pii(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        spans = [s.split(":") for s in r.spans.split(",") if s]
+        assert spans == sorted(spans, key=lambda s: (int(s[1]), pii.KINDS.index(s[0])))
+
+
+def test_markov_models_hold_out():
+    rnd = random.Random(9)
+    syllables = ["get", "set", "user", "name", "data", "list", "index", "config", "value", "file", "path", "read", "write", "error", "count", "type", "node", "time", "line", "text"]
+    words = ["".join(w.capitalize() if i and j % 2 else w for i, w in enumerate(rnd.choices(syllables, k=5))) if j % 3 else "_".join(rnd.choices(syllables, k=4)) for j in range(4000)]
+    keys = secrets.generated(seed=11, n=400)
+    table = secrets.log_ratios(secrets.pair_counts(words[:2000]), secrets.pair_counts(secrets.generated()))
+    caught = np.mean([secrets.is_secret(k, table) for k in keys])
+    wrong = np.mean([secrets.is_secret(w, table) for w in words[2000:] if len(w) >= secrets.SHORTEST])
+    assert caught > 0.97 and wrong < 0.01
+
+
+def test_pair_counts():
+    n = secrets.pair_counts(["ab", "", "a?b"]).reshape(secrets.SIZE, secrets.SIZE)
+    code = lambda c: secrets.ALPHABET.index(c) + 1
+    assert n[0, code("a")] == 2 and n[code("a"), code("b")] == 1 and n.sum() == 3  # pairs with an unknown character aren't counted
+
+
+def test_secret_edges(spark):
+    key = "q8ZkP2vXw9TbLr4NfYs7Hd3JmC6gKa1E"
+    texts = [*edge.TEXTS, f"the key {key} in text", f"token={key}", "internationalizationandlocalization" * 2]
+    docs = edge.documents(spark, texts, extra=True)
+    table = secrets.train(edge.documents(spark, ["ordinary words of a text about configuration files and international organizations"] * 50))
+    rows = {r.doc_id: r for r in secrets.scanned(docs, ["doc_id"], table).collect()}
+    spans = lambda c: joined([(s.kind, s.start, s.end) for s in c])
+    for i, t in enumerate(texts):
+        assert spans(rows[i].base) == joined(brute_secrets(t or ""))
+    n = len(edge.TEXTS)
+    assert spans(rows[n].spans) == f"random:8:{8 + len(key)}" and spans(rows[n + 1].spans) == spans(rows[n + 1].base) and not rows[n + 2].spans
+    assert np.isfinite(secrets.train(edge.documents(spark, []))).all()
+    assert secrets.scanned(edge.documents(spark, []), ["doc_id"], table).count() == 0
+
+
+def test_secret_query_on_the_fixture(spark, data):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = secrets.op8(spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = brute_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(joined(want).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in secrets.BASE] == [sum(s[0] == k for s in want) for k in secrets.BASE]
+        assert {s for s in joined(want).split(",")} <= set(r.spans.split(","))
