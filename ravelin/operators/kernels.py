@@ -1,7 +1,8 @@
 """Block scoring over Arrow batches.
 
-Products are added one dimension after the other, so a score doesn't depend on the block it was computed in and is the same bit
-for bit as the JVM's and SQL's.
+A score is the sum of products from the first dimension to the last, so it doesn't depend on the block it was computed in and is the
+same bit for bit as the JVM's and SQL's. Matrix products, whose order of addition is the library's, only preselect: whatever lies
+within their rounding error of a decision is scored again in order.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Rows scored at once.
-BLOCK = 8192
+#: Rows scored at once; a bound, relative to the vectors' lengths, of how far two orders of addition can differ.
+BLOCK, SLACK = 8192, 1e-11
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -22,21 +23,44 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(n, len(flat) // n if n else 0)
 
 
+def in_order(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Dot products of the rows with one query, added in order."""
+    return np.add.accumulate(rows * query, axis=1)[:, -1] if rows.shape[1] else np.zeros(len(rows))
+
+
 def scores(rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """(rows, queries) dot products."""
-    out = np.zeros((len(rows), len(queries)))
-    part = np.empty_like(out)
-    for a, b in zip(np.ascontiguousarray(rows.T), np.ascontiguousarray(queries.T)):
-        np.multiply(a[:, None], b[None, :], out=part)
-        out += part
-    return out
+    """(rows, queries) dot products, added in order."""
+    return np.stack([in_order(rows, q) for q in queries], axis=1) if len(queries) else np.zeros((len(rows), 0))
+
+
+def _slack(rows: np.ndarray, queries: np.ndarray) -> float:
+    longest = lambda m: float(np.sqrt((m * m).sum(axis=1).max())) if m.size else 0.0
+    return SLACK * longest(rows) * longest(queries)
 
 
 def nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """Each row's centroid of the highest score, the first of equals."""
-    if not len(rows):
-        return np.empty(0, dtype=np.int32)
-    return np.concatenate([scores(rows[i : i + BLOCK], centroids).argmax(axis=1) for i in range(0, len(rows), BLOCK)]).astype(np.int32)
+    out = np.empty(len(rows), dtype=np.int32)
+    for i in range(0, len(rows), BLOCK):
+        block = rows[i : i + BLOCK]
+        rough = block @ centroids.T
+        top = rough.max(axis=1, keepdims=True) - _slack(block, centroids)
+        out[i : i + BLOCK] = rough.argmax(axis=1)
+        close = np.flatnonzero((rough >= top).sum(axis=1) > 1)
+        if len(close):
+            out[i + close] = scores(block[close], centroids).argmax(axis=1)
+    return out
+
+
+def top_rows(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query, places and scores of the k best rows, ties by the lower id."""
+    rough, slack, out = queries @ rows.T, _slack(rows, queries), []
+    for own, q in zip(rough, queries):
+        at = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k] - slack) if len(own) > k else np.arange(len(own))
+        exact = in_order(rows[at], q)
+        first = best(ids[at], exact, k)
+        out.append((at[first], exact[first]))
+    return out
 
 
 def best(ids: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:

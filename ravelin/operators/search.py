@@ -141,10 +141,9 @@ def scan_block(postings: DataFrame, qids: np.ndarray, queries: np.ndarray, probe
                 own = np.flatnonzero(cids == c) if c is not None else np.arange(len(ids))
                 who = wanted.get(int(c), np.empty(0, np.int64)) if c is not None else np.arange(len(names))
                 for at in range(0, len(who), 256):
-                    found = kernels.scores(matrix[own], vectors[who[at : at + 256]])
-                    for j, q in enumerate(who[at : at + 256].tolist()):
-                        top = kernels.best(ids[own], found[:, j], k)
-                        new = cids[own][top], ids[own][top], found[top, j]
+                    some = who[at : at + 256]
+                    for q, (top, found) in zip(some.tolist(), kernels.top_rows(ids[own], matrix[own], vectors[some], k)):
+                        new = cids[own][top], ids[own][top], found
                         if q in kept:
                             new = tuple(np.concatenate(x) for x in zip(kept[q], new))
                             top = kernels.best(new[1], new[2], k)
