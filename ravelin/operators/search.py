@@ -17,7 +17,7 @@ from ravelin.operators import kernels
 from ravelin.runtime import prepare
 
 #: Queries of a batch that travel to the executors together.
-QUERY_BLOCK = 2048
+QUERY_BLOCK = 8192
 
 
 def prepare_query(query, dim: int) -> np.ndarray:
@@ -42,6 +42,12 @@ def coarse(centroids: np.ndarray, q: np.ndarray, nprobe: int) -> np.ndarray:
     return np.lexsort((np.arange(len(found)), -found))[:nprobe]
 
 
+def coarse_block(centroids: np.ndarray, queries: np.ndarray, nprobe: int) -> list[np.ndarray]:
+    """coarse() for many queries."""
+    nprobe = max(1, min(int(nprobe), len(centroids)))
+    return [at for at, _ in kernels.top_rows(np.arange(len(centroids)), centroids, queries, nprobe)]
+
+
 def scan(postings: DataFrame, cids: Sequence[int], q: np.ndarray) -> DataFrame:
     """(cid, id, score) of every row in the clusters; the list becomes a partition filter, so no other cluster is read."""
     rows = postings.filter(F.col("cid").isin([int(c) for c in cids])) if len(cids) else postings.filter(F.lit(False))
@@ -167,7 +173,7 @@ def batch_search(postings: DataFrame, queries: DataFrame, dim: int, k: int, cent
     out: DataFrame | None = None
     if k:
         for qids, vectors in query_blocks(queries, dim, normalized):
-            probes = None if centroids is None else [coarse(centroids, q, nprobe) for q in vectors]
+            probes = None if centroids is None else coarse_block(centroids, vectors, nprobe)
             found = merge_top_k(scan_block(postings, qids, vectors, probes, k), k)
             out = found if out is None else out.unionByName(found)
     if out is None:

@@ -6,7 +6,6 @@ from the first `CLUSTERS` ids and makes `PASSES` passes, which SQL can repeat.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from ravelin.functions import vectors as V
 from ravelin.index import VectorIndex
 from ravelin.operators import clustering, metrics, search
-from ravelin.runtime import prepare, scratch
+from ravelin.runtime import fresh_path, prepare
 
 CLUSTERS, PASSES, K = 16, 2, 10
 #: Clusters that a single search and a batch look into; the rows are nearly unclustered, so high recall takes most clusters.
@@ -46,7 +45,7 @@ def index_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _indexes:
         rows = embeddings(spark, sf_dir).withColumn("metadata", F.to_json(F.struct("label")))
-        path = f"{scratch(spark)}/ravelin/{uuid.uuid4().hex}/index"
+        path = fresh_path(spark, "index")
         _indexes[key] = VectorIndex.build(spark, path, rows, id_col="vec_id", metadata_col="metadata", n_clusters=CLUSTERS, kmeans_iters=PASSES, centroids=first_centroids(spark, sf_dir))
     return _indexes[key]
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import suppress
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ BATCH_ROWS, BATCH_BYTES = 4000, "8m"
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
 _shipped: set[str] = set()
+_bases: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -42,9 +45,24 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has used; what is there goes when the application ends in order."""
+    base = f"{scratch(spark)}/ravelin/{spark.sparkContext.applicationId}"
+    if base not in _bases:
+        _bases.add(base)
+        atexit.register(_sweep, spark, base)
+    return f"{base}/{uuid.uuid4().hex}/{label}"
+
+
+def _sweep(spark: SparkSession, base: str) -> None:
+    with suppress(Exception):  # the application may have ended before
+        if spark.sparkContext._jsc is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/ravelin/{uuid.uuid4().hex}/{label}"
+    path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
