@@ -68,8 +68,9 @@ def _checked_metadata(rows: DataFrame) -> DataFrame:
 class VectorIndex:
     """An immutable cosine index in a folder. Usable as a context manager; searches after close() raise RuntimeError."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, *, backend: str = "cpu"):
         self._closed = True
+        check_backend(spark, backend)
         self.spark, self.path = prepare(spark), path.rstrip("/")
         self.manifest = store.read_manifest(spark, self.path)
         self.dim: int = self.manifest["dim"]
@@ -172,6 +173,20 @@ class VectorIndex:
         self.close()
 
 
+def devices(spark: SparkSession) -> list[str]:
+    """Addresses of the GPUs that the driver was given, each once."""
+    found = spark.sparkContext.resources.get("gpu")
+    return list(dict.fromkeys(found.addresses)) if found else []
+
+
+def check_backend(spark: SparkSession, name: str) -> None:
+    """cpu, or gpu where the session runs an accelerator's plugin, which then takes over the same plans."""
+    if name not in ("cpu", "gpu"):
+        raise ValueError(f"the backend is cpu or gpu, not {name}")
+    if name == "gpu" and "com.nvidia.spark.SQLPlugin" not in spark.sparkContext.getConf().get("spark.plugins", ""):
+        raise RuntimeError("gpu needs a session with spark.plugins=com.nvidia.spark.SQLPlugin")
+
+
 def backend() -> dict:
     """What scores vectors here."""
     return {"backend": "spark", "spark_version": pyspark.__version__, "scorer": "generated code for one query, Arrow blocks for batches"}

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravelin import VectorIndex, cli
+from ravelin.index import devices
 from ravelin.operators import clustering, metrics, search
 from ravelin.streaming.search_stream import search_stream
 
@@ -231,6 +232,14 @@ def test_command_line(spark, index, matrix, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out)["backend"] == "spark"
 
 
+def test_backends(spark, index):
+    assert VectorIndex(spark, index.path, backend="cpu").dim == DIM and devices(spark) == []
+    with pytest.raises(ValueError):
+        VectorIndex(spark, index.path, backend="tpu")
+    with pytest.raises(RuntimeError):
+        VectorIndex(spark, index.path, backend="gpu")
+
+
 def test_stream_of_queries(spark, index, matrix, tmp_path):
     queries = spark.createDataFrame([(i, [float(x) for x in matrix[i]]) for i in (1, 2)], "qid long, q array<float>")
     queries.write.parquet(str(tmp_path / "in"))
