@@ -9,7 +9,7 @@ from ravelin import runtime
 def test_scratch_tables_lie_in_the_named_folder(spark):
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     df = runtime.materialize(spark.range(3).withColumn("x", F.lit(None).cast("string")), "some")
-    assert df.inputFiles()[0].startswith(f"file:{folder}/ravelin/{spark.sparkContext.applicationId}/")
+    assert df.inputFiles()[0].removeprefix("file://").startswith(f"{folder}/ravelin/{spark.sparkContext.applicationId}/")
     assert df.count() == 3 and [f.name for f in df.schema] == ["id", "x"]
     assert runtime.materialize(spark.range(0), "none").count() == 0
     assert runtime.fresh_path(spark, "a") != runtime.fresh_path(spark, "a")
