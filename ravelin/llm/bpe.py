@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.arrow import map_columns
 
-VOCABULARY, WORDS = "byte_bpe_50k.tiktoken", 400_000
+VOCABULARY, WORDS = "byte_bpe_50k.tiktoken", 200_000
 
 #: Up to U+024F letters, numbers and white space can be listed, so that `re` splits as the general pattern does, and sooner.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \u0085 "
@@ -63,7 +65,8 @@ class MergeReplay:
         self.ranks, self.tokens = load_ranks(path)
         self.latin = _LATIN if pattern == public_tokenizers.PATTERN else None
         self.general = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.number: dict[str, int] = {}  # words met so far
+        self.coded: list[bytes] = []  # and their ids
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.pair_keys, self.pair_values = mergeable_pairs(path)
 
@@ -74,14 +77,15 @@ class MergeReplay:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Ids of each text, as packed unsigned 32-bit integers."""
-        split = [self.split(t or "") for t in texts]
-        if len(self.known) > WORDS:
-            self.known = {}
-        new = {w for words in split for w in words}.difference(self.known)
-        if new:
-            self.known.update(zip(new, self._replay([w.encode() for w in new])))
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        if len(self.number) > WORDS:
+            self.number, self.coded = {}, []
+        number = self.number
+        numbers = [array("I", [number.setdefault(w, len(number)) for w in self.split(t)]) if t else () for t in texts]
+        if len(number) > len(self.coded):
+            new = [w.encode() for w in islice(number, len(self.coded), None)]  # in the order they were numbered
+            self.coded += self._replay(new)
+        coded = self.coded
+        return [b"".join([coded[i] for i in own]) for own in numbers]
 
     def decode(self, ids: bytes) -> bytes:
         tokens = self.tokens
