@@ -181,18 +181,21 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     base = [((x or 0.0) + 1.0) / (total + n) for x in corpus]
     prior = F.array(*map(F.lit, base))
 
-    def likelihood(column: str) -> DataFrame:
-        """log P(value | language) by value: soft counts of a value over those of the language."""
-        told = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(sums().alias(f"{column}_n"))
-        values = F.count(F.lit(1)).alias("values")
-        shape = told.agg(values, *(F.sum(F.col(f"{column}_n")[i]).alias(f"t{i}") for i in range(n))).first()
+    def likelihood(counted: DataFrame, column: str) -> DataFrame:
+        """log P(value | language) by value, from (value, n): soft counts of a value over those of the language."""
+        told = counted.filter(F.col(column).isNotNull()).groupBy(column).agg(F.array(*(F.sum(F.col("n")[i]) for i in range(n))).alias(f"{column}_n"))
+        shape = told.agg(F.count(F.lit(1)).alias("values"), *(F.sum(F.col(f"{column}_n")[i]).alias(f"t{i}") for i in range(n))).first()
         over = F.array(*(F.lit(float((shape[i + 1] or 0.0) + 0.5 * (shape[0] or 1))) for i in range(n)))
         return told.select(column, F.zip_with(f"{column}_n", over, lambda a, b: F.log((a + 0.5) / b)).alias(f"{column}_log"))
 
-    hosts = materialize(rows.filter(F.col("host").isNotNull()).groupBy("host", "domain").agg(sums().alias("host_n")), "hosts")
+    # Rows meet their host once; what depends on the domain and the suffix is joined to the hosts, of which there are far fewer.
+    hosts = materialize(rows.filter(F.col("host").isNotNull()).groupBy("host", "domain", "suffix").agg(sums().alias("host_n")), "hosts")
     domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.col("host_n")[i]) for i in range(n))).alias("domain_n"))
+    suffixes = likelihood(hosts.select("suffix", F.col("host_n").alias("n")), "suffix")
+    told_hosts = hosts.join(domains, "domain").join(suffixes, "suffix", "left").select("host", "host_n", "domain_n", "suffix_log")
     zero = F.array(*[F.lit(0.0)] * n)
-    joined = rows.join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left").join(hosts.join(domains, "domain").drop("domain"), "host", "left")
+    declared = likelihood(rows.select("declared", F.col("soft").alias("n")), "declared")  # at most LANGUAGES + 2 rows
+    joined = rows.join(F.broadcast(declared), "declared", "left").join(told_hosts, "host", "left")
     others = lambda c: F.zip_with(F.coalesce(c, zero), F.when(F.col(c).isNotNull(), F.col("soft")).otherwise(zero), lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
     def smoothed(counts: F.Column, towards: F.Column, weight: float) -> F.Column:
