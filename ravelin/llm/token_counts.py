@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.arrow import map_columns
+from ravelin.runtime import materialize
 
 VOCABULARY, BLOCK = "byte_bpe_50k.tiktoken", 1024
 
@@ -85,4 +86,5 @@ def quantiles(sums: DataFrame, shares: Sequence[float]) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: the histogram of all documents' lengths with its suffix sums."""
-    return suffix_sums(histogram(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    hist = materialize(histogram(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "lengths")  # read twice, encoded once
+    return suffix_sums(hist)
