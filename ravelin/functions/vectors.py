@@ -23,7 +23,9 @@ def l2_norm(v: Column | str) -> Column:
 def normalize(v: Column | str) -> Column:
     """The vector at length 1, rounded to single precision as it is stored; a zero vector stays as it is."""
     norm = l2_norm(v)
-    return F.transform(widen(v), lambda x: (x / F.when(norm == 0, F.lit(1.0)).otherwise(norm)).cast("float"))
+    divisor = F.when(norm == 0, F.lit(1.0)).otherwise(norm)
+    # The norm stands beside the elements: inside the lambda it would be computed anew for each of them.
+    return F.zip_with(widen(v), F.array_repeat(divisor, F.size(v)), lambda x, d: (x / d).cast("float"))
 
 
 def is_finite(v: Column | str) -> Column:
