@@ -166,7 +166,8 @@ def document_evidence(docs: DataFrame, languages: list[str], table: np.ndarray)
 def _normalized(logs: F.Column) -> F.Column:
     """exp and division by the sum, for logs of which the greatest is near 0."""
     e = F.transform(logs, lambda x: F.exp(x))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    total = F.aggregate(e, F.lit(0.0), lambda s, y: s + y)
+    return F.zip_with(e, F.array_repeat(total, F.size(logs)), lambda x, t: x / t)  # the total is computed once, not in the lambda
 
 
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
@@ -199,14 +200,14 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     others = lambda c: F.zip_with(F.coalesce(c, zero), F.when(F.col(c).isNotNull(), F.col("soft")).otherwise(zero), lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
     def smoothed(counts: F.Column, towards: F.Column, weight: float) -> F.Column:
-        size = F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
-        return F.zip_with(counts, towards, lambda a, b: (a + weight * b) / (size + weight))
+        size = F.aggregate(counts, F.lit(weight), lambda s, x: s + x)
+        return F.zip_with(F.zip_with(counts, towards, lambda a, b: a + weight * b), F.array_repeat(size, n), lambda a, s: a / s)
 
     by_domain = smoothed(others("domain_n"), prior, DOMAIN_WEIGHT)
     told = joined.withColumn("by_host", smoothed(others("host_n"), by_domain, HOST_WEIGHT))
     parts = ["scores", F.coalesce("declared_log", zero), F.coalesce("suffix_log", zero), F.transform("by_host", lambda x: F.log(x))]
     summed = told.withColumn("logs", reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts))
-    final = summed.withColumn("posteriors", _normalized(F.transform("logs", lambda x: x - F.array_max("logs"))))
+    final = summed.withColumn("posteriors", _normalized(F.zip_with("logs", F.array_repeat(F.array_max("logs"), n), lambda x, m: x - m)))
     return final.withColumn("lang", best(F.col("posteriors"))).withColumn("posterior", F.array_max("posteriors")).withColumn("text_lang", best(F.col("scores")))
 
 
