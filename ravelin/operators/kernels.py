@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Rows scored at once; a bound, relative to the vectors' lengths, of how far two orders of addition can differ.
-BLOCK, SLACK = 8192, 1e-11
+#: Rows and queries scored at once; a bound, relative to the vectors' lengths, of how far two orders of addition can differ.
+BLOCK, QUERIES, SLACK = 8192, 256, 1e-11
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -24,7 +24,7 @@ def matrix_of(column: pa.Array) -> np.ndarray:
 
 
 def in_order(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Dot products of the rows with one query, added in order."""
+    """Dot products of the rows with one query, or each with its own, added in order."""
     return np.add.accumulate(rows * query, axis=1)[:, -1] if rows.shape[1] else np.zeros(len(rows))
 
 
@@ -52,25 +52,30 @@ def nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return out
 
 
-def top_rows(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per query, places and scores of the k best rows, ties by the lower id."""
-    rough, slack, out = queries @ rows.T, _slack(rows, queries), []
-    for own, q in zip(rough, queries):
-        at = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k] - slack) if len(own) > k else np.arange(len(own))
-        exact = in_order(rows[at], q)
-        first = best(ids[at], exact, k)
-        out.append((at[first], exact[first]))
-    return out
-
-
-def best(ids: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest values, ties by the lower id."""
-    if len(values) > 4 * k:
-        least = np.partition(values, len(values) - k)[len(values) - k]
-        at = np.flatnonzero(values >= least)
-    else:
-        at = np.arange(len(values))
-    return at[np.lexsort((ids[at], -values[at]))[:k]]
+def top_pairs(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of each query's k best rows, best first, ties by the lower id."""
+    n, found = len(rows), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for start in range(0, len(queries), QUERIES):
+        some = queries[start : start + QUERIES]
+        if n > k:
+            rough = some @ rows.T
+            least = np.partition(rough, n - k, axis=1)[:, n - k] - _slack(rows, some)
+            who, at = np.nonzero(rough >= least[:, None])
+        else:
+            who, at = np.repeat(np.arange(len(some)), n), np.tile(np.arange(n), len(some))
+        exact = np.empty(len(who))
+        for i in range(0, len(who), BLOCK):  # many rows may tie
+            exact[i : i + BLOCK] = in_order(rows[at[i : i + BLOCK]], some[who[i : i + BLOCK]])
+        first = first_k(who, exact, ids[at], k)
+        found.append((who[first] + start, at[first], exact[first]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def first_k(groups: np.ndarray, values: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each group's k highest values, by group, then best first, ties by the lower id."""
+    order = np.lexsort((ids, -values, groups))
+    own = groups[order]
+    return order[np.arange(len(own)) - np.searchsorted(own, own, side="left") < k]
 
 
 def unit(v: np.ndarray) -> np.ndarray:

@@ -45,7 +45,7 @@ def coarse(centroids: np.ndarray, q: np.ndarray, nprobe: int) -> np.ndarray:
 def coarse_block(centroids: np.ndarray, queries: np.ndarray, nprobe: int) -> list[np.ndarray]:
     """coarse() for many queries."""
     nprobe = max(1, min(int(nprobe), len(centroids)))
-    return [at for at, _ in kernels.top_rows(np.arange(len(centroids)), centroids, queries, nprobe)]
+    return [*kernels.top_pairs(np.arange(len(centroids)), centroids, queries, nprobe)[1].reshape(-1, nprobe)]
 
 
 def scan(postings: DataFrame, cids: Sequence[int], q: np.ndarray) -> DataFrame:
@@ -105,18 +105,49 @@ def where_metadata(postings: DataFrame, condition: Column) -> DataFrame:
     return postings.filter(condition)
 
 
+def _pack(batch: pa.RecordBatch, dim: int) -> dict:
+    """A batch of queries as bytes, or what is wrong with it."""
+    rows = batch.column(1)
+    odd = np.flatnonzero(rows.value_lengths().fill_null(-1).to_numpy() != dim)
+    with np.errstate(over="ignore"):
+        flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    if not len(odd) and np.isfinite(flat).all():
+        return {"qids": batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), "q": flat.tobytes(), "error": None}
+    try:
+        for q in rows.to_pylist():
+            prepare_query(q, dim)
+    except ValueError as e:
+        return {"qids": None, "q": None, "error": str(e)}
+    raise AssertionError("unreachable")
+
+
 def query_blocks(queries: DataFrame, dim: int, normalized: bool = True, size: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(qids, vectors) in blocks; the driver holds one partition of queries at a time."""
-    ids, rows = [], []
-    for r in queries.select("qid", "q").toLocalIterator():
-        q = prepare_query(r.q, dim)
-        ids.append(r.qid)
-        rows.append(normalize_query(q) if normalized else q)
-        if len(ids) == size:
-            yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids, dtype=np.int64), np.array(rows, dtype=np.float64)
+    """(qids, vectors) in blocks; the driver holds one partition of queries at a time, packed by Arrow batch."""
+    prepare(queries.sparkSession)
+    schema = _parse_datatype_string("qids binary, q binary, error string")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pylist([_pack(batch, dim)], schema=arrow)
+
+    ids, rows = np.empty(0, np.int64), np.empty((0, dim), np.float32)
+
+    def block() -> tuple[np.ndarray, np.ndarray]:
+        m = rows[:size].astype(np.float64)
+        return ids[:size], kernels.unit(m).astype(np.float32).astype(np.float64) if normalized else m
+
+    for r in queries.select(F.col("qid").cast("long"), F.col("q").cast("array<double>")).mapInArrow(run, schema).toLocalIterator():
+        if r.error:
+            raise ValueError(r.error)
+        ids = np.concatenate([ids, np.frombuffer(r.qids, dtype=np.int64)])
+        rows = np.concatenate([rows, np.frombuffer(r.q, dtype=np.float32).reshape(-1, dim)])
+        while len(ids) >= size:
+            yield block()
+            ids, rows = ids[size:], rows[size:]
+    if len(ids):
+        yield block()
 
 
 _FOUND = "qid long, cid int, id long, score double"
@@ -138,25 +169,35 @@ def scan_block(postings: DataFrame, qids: np.ndarray, queries: np.ndarray, probe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors, wanted = shared.value
-        kept: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        everyone = np.arange(len(names))
+        held: list[tuple[np.ndarray, ...]] = []  # query, cluster, id, score
+        size, limit = 0, 2 * k * len(names) + kernels.BLOCK
+
+        def best() -> tuple[np.ndarray, ...]:
+            q, c, i, s = (np.concatenate(x) for x in zip(*held))
+            first = kernels.first_k(q, s, i, k)
+            return q[first], c[first], i[first], s[first]
+
         for batch in batches:
             cids = batch.column(0).to_numpy(zero_copy_only=False)
             ids = batch.column(1).to_numpy(zero_copy_only=False)
             matrix = kernels.matrix_of(batch.column(2))
             for c in np.unique(cids) if wanted is not None else [None]:
                 own = np.flatnonzero(cids == c) if c is not None else np.arange(len(ids))
-                who = wanted.get(int(c), np.empty(0, np.int64)) if c is not None else np.arange(len(names))
-                for at in range(0, len(who), 256):
-                    some = who[at : at + 256]
-                    for q, (top, found) in zip(some.tolist(), kernels.top_rows(ids[own], matrix[own], vectors[some], k)):
-                        new = cids[own][top], ids[own][top], found
-                        if q in kept:
-                            new = tuple(np.concatenate(x) for x in zip(kept[q], new))
-                            top = kernels.best(new[1], new[2], k)
-                            new = tuple(x[top] for x in new)
-                        kept[q] = new
-        for q, (c, i, s) in kept.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), names[q])), pa.array(c.astype(np.int32)), pa.array(i.astype(np.int64)), pa.array(s)], schema=arrow)
+                who = wanted.get(int(c), everyone[:0]) if c is not None else everyone
+                for at in range(0, len(who), kernels.QUERIES):
+                    some = who[at : at + kernels.QUERIES]
+                    q, top, found = kernels.top_pairs(ids[own], matrix[own], vectors[some], k)
+                    held.append((some[q], cids[own][top], ids[own][top], found))
+                    size += len(q)
+                    if size > limit:  # at most k rows a query stay
+                        held = [best()]
+                        size = len(held[0][0])
+        if held:
+            q, c, i, s = best()
+            for at in range(0, len(q), kernels.BLOCK):
+                part = slice(at, at + kernels.BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[part]]), pa.array(c[part].astype(np.int32)), pa.array(i[part].astype(np.int64)), pa.array(s[part])], schema=arrow)
 
     return rows.mapInArrow(run, schema)
 

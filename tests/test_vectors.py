@@ -45,12 +45,30 @@ def test_scores_are_sums_in_order(rows, dim, queries, seed):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 8))
-def test_best_breaks_ties_by_id(values, k):
-    ids = np.random.default_rng(1).permutation(len(values))
-    v = np.array(values, dtype=float)
-    got = [(v[i], ids[i]) for i in kernels.best(ids, v, k)]
-    assert got == sorted(zip(v, ids), key=lambda x: (-x[0], x[1]))[:k]
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3)), max_size=60), st.integers(1, 8))
+def test_first_k_breaks_ties_by_id(rows, k):
+    ids = np.random.default_rng(1).permutation(len(rows))
+    groups = np.array([g for g, _ in rows], dtype=int)
+    v = np.array([x for _, x in rows], dtype=float)
+    got = [(groups[i], v[i], ids[i]) for i in kernels.first_k(groups, v, ids, k)]
+    wanted = []
+    for g in sorted(set(groups.tolist())):
+        own = [(g, x, i) for h, x, i in zip(groups, v, ids) if h == g]
+        wanted += sorted(own, key=lambda x: (-x[1], x[2]))[:k]
+    assert got == wanted
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 40), st.integers(0, 5), st.integers(1, 9), st.integers(1, 12))
+def test_top_pairs_are_those_of_all_scores(n, n_queries, dim, k):
+    rng = np.random.default_rng(n * 100 + dim)
+    rows, queries = rng.integers(-2, 3, (n, dim)).astype(float), rng.integers(-2, 3, (n_queries, dim)).astype(float)  # with many ties
+    ids = rng.permutation(n)
+    got = [(q, ids[i], s) for q, i, s in zip(*kernels.top_pairs(ids, rows, queries, k))]
+    wanted = []
+    for q, v in enumerate(queries):
+        wanted += [(q, i, s) for s, i in sorted(zip(kernels.in_order(rows, v), ids), key=lambda x: (-x[0], x[1]))[:k]]
+    assert got == wanted
 
 
 def test_matrix_of_sliced_lists():
