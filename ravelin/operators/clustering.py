@@ -69,7 +69,10 @@ def cluster_sums(vectors: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray,
         for batch in batches:
             v = kernels.matrix_of(batch.column(0))
             cid = kernels.nearest(v, shared.value)
-            np.add.at(sums, cid, np.floor(v * UNITS + 0.5).astype(np.int64))
+            order = np.argsort(cid, kind="stable")
+            used, firsts = np.unique(cid[order], return_index=True)
+            if len(used):
+                sums[used] += np.add.reduceat(np.floor(v * UNITS + 0.5).astype(np.int64)[order], firsts, axis=0)
             sizes += np.bincount(cid, minlength=k)
             rows += len(v)
             if rows >= ROWS:
