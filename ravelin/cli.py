@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("-k", type=int, default=10)
     find.add_argument("--nprobe", type=int, default=2)
     find.add_argument("--backend", default="cpu", choices=("cpu", "gpu"))
+    find.add_argument("--device", type=int, default=0, help="which of the session's devices the gpu backend must have")
     find.add_argument("--program", help="a file with a program to run instead of the default one")
     return top
 
@@ -34,7 +35,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         out = backend()
     else:
         spark = spark or SparkSession.builder.appName("ravelin").getOrCreate()
-        with VectorIndex(spark, args.index, backend=getattr(args, "backend", "cpu")) as index:
+        with VectorIndex(spark, args.index, backend=getattr(args, "backend", "cpu"), device=getattr(args, "device", 0)) as index:
             if args.command == "info":
                 out = index.info()
             else:

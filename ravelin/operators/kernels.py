@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Rows and queries scored at once; a bound, relative to the vectors' lengths, of how far two orders of addition can differ.
-BLOCK, QUERIES, SLACK = 8192, 256, 1e-11
+#: Rows, centroids and queries scored at once; a bound, relative to the vectors' lengths, of how far two orders of addition can differ.
+BLOCK, COLUMNS, QUERIES, SLACK = 4096, 2048, 256, 1e-11
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
@@ -39,19 +39,41 @@ def _slack(rows: np.ndarray, queries: np.ndarray) -> float:
 
 
 def nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Each row's centroid of the highest score, the first of equals."""
-    out = np.empty(len(rows), dtype=np.int32)
+    """Each row's centroid of the highest score, the first of equals; at most BLOCK x COLUMNS scores are held at once."""
+    out = np.zeros(len(rows), dtype=np.int32)
     for i in range(0, len(rows), BLOCK):
         block = rows[i : i + BLOCK]
-        rough = block @ centroids.T
-        top = rough.max(axis=1, keepdims=True) - _slack(block, centroids)
-        out[i : i + BLOCK] = rough.argmax(axis=1)
-        close = np.flatnonzero((rough >= top).sum(axis=1) > 1)
+        n = np.arange(len(block))
+        best, second = np.full(len(block), -np.inf), np.full(len(block), -np.inf)
+        for at in range(0, len(centroids), COLUMNS):
+            rough = block @ centroids[at : at + COLUMNS].T
+            first = rough.argmax(axis=1)
+            top = rough[n, first]
+            rough[n, first] = -np.inf
+            second = np.maximum(np.maximum(second, rough.max(axis=1)), np.minimum(best, top))
+            out[i : i + BLOCK] = np.where(top > best, at + first, out[i : i + BLOCK])
+            best = np.maximum(best, top)
+        least = best - _slack(block, centroids)
+        close = np.flatnonzero(second >= least)
         if len(close):
-            out[i + close] = scores(block[close], centroids).argmax(axis=1)
+            out[i + close] = _first_of_close(block[close], centroids, least[close])
     return out
 
 
+def _first_of_close(rows: np.ndarray, centroids: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """nearest() in exact scores, among the centroids whose rough score is at least so much."""
+    found, best = np.zeros(len(rows), dtype=np.int32), np.full(len(rows), -np.inf)
+    for at in range(0, len(centroids), COLUMNS):
+        who, which = np.nonzero(rows @ centroids[at : at + COLUMNS].T >= least[:, None])
+        for j in range(0, len(who), BLOCK):
+            w, c = who[j : j + BLOCK], which[j : j + BLOCK] + at
+            exact = in_order(rows[w], centroids[c])
+            top = first_k(w, exact, c, 1)
+            better = top[exact[top] > best[w[top]]]  # centroids come in order, so the first of equals stays
+            found[w[better]], best[w[better]] = c[better], exact[better]
+    return found
+
+
 def top_pairs(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, place, score) of each query's k best rows, best first, ties by the lower id."""
     n, found = len(rows), [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]

@@ -71,12 +71,12 @@ def finite_vectors(spark, sf_dir):
 
 
 def dot_scores(spark, sf_dir):
-    return embeddings(spark, sf_dir).select("vec_id", V.dot("embedding", V.literal(first_query(spark, sf_dir))).alias("score"))
+    return search.scored(embeddings(spark, sf_dir), np.array(first_query(spark, sf_dir)), "embedding", ["vec_id"])
 
 
 def cosine_topk(spark, sf_dir):
     q = search.normalize_query(np.array(first_query(spark, sf_dir), dtype=np.float32))
-    return search.top_k(normalized(spark, sf_dir).select("id", V.dot("v", V.literal(q)).alias("score")), K)
+    return search.top_k(search.scored(normalized(spark, sf_dir), q, "v", ["id"]), K)
 
 
 def raw_dot_topk(spark, sf_dir):
@@ -101,7 +101,7 @@ def _centroid_rows(spark, centroids):
 
 
 def lloyd_step(spark, sf_dir):
-    return _centroid_rows(spark, clustering.lloyd_step(normalized(spark, sf_dir), first_centroids(spark, sf_dir)))
+    return _centroid_rows(spark, clustering.lloyd_step(normalized(spark, sf_dir), first_centroids(spark, sf_dir))[0])
 
 
 def cluster_centroids(spark, sf_dir):

@@ -1,22 +1,26 @@
 """The index on disk: postings partitioned by cluster, centroids with cluster sizes, and a manifest.
 
 An index is written to a sibling staging folder and renamed when complete, through Hadoop's file system, so that any store that
-Spark can write to serves. An existing destination is refused unless it is an empty folder.
+Spark can write to serves. An existing destination is refused unless it is an empty folder. The rename is atomic where the file
+system's is (HDFS, local disks). On an object store it copies, so a reader may meet a half-copied index there: it then finds no manifest or
+counts that don't fit, and refuses.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT, LAYOUT, METRIC = "ravelin-ivf-1", "partitioned-by-cluster", "cosine"
 #: Rows of a posting file; a larger cluster is written by several tasks.
 FILE_ROWS = 1 << 20
+#: Bytes of a table of clusters that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 POSTINGS_SCHEMA = "id long, v array<float>, pos long, metadata string, cid int"
 CENTROIDS_SCHEMA = "cid int, c array<double>, n long"
 
@@ -44,6 +48,14 @@ class Files:
         if not self.fs.rename(self.path(staging), target):
             raise OSError(f"{staging} can't be renamed to {path}")
 
+    def write(self, path: str, text: str) -> None:
+        """A new file with that text."""
+        out = self.fs.create(self.path(path), False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
     def remove(self, path: str) -> None:
         self.fs.delete(self.path(path), True)
 
@@ -52,23 +64,47 @@ def staging_path(path: str) -> str:
     return f"{path.rstrip('/')}.staging-{uuid.uuid4().hex[:12]}"
 
 
+def dealt(rows: DataFrame, sizes: np.ndarray) -> DataFrame:
+    """Rows with cid and `piece`: each cluster dealt by a hash of the id to as many pieces as its size needs.
+
+    The sizes only decide how clusters are dealt, so those of an earlier pass will do.
+    """
+    pieces = -(-np.asarray(sizes) // FILE_ROWS)
+    large = np.flatnonzero(pieces > 1)
+    if not len(large):
+        return rows.withColumn("piece", F.lit(0))
+    told = rows.sparkSession.createDataFrame(pa.table({"cid": large.astype(np.int32), "pieces": pieces[large].astype(np.int32)}))
+    told = F.broadcast(told) if told_bytes(len(large)) <= BROADCAST_BYTES else told
+    return rows.join(told, "cid", "left").withColumn("piece", F.coalesce(F.expr("pmod(xxhash64(id), pieces)").cast("int"), F.lit(0))).drop("pieces")
+
+
 def write_postings(rows: DataFrame, sizes: np.ndarray, path: str) -> None:
-    """Rows (id, v, pos, metadata, cid), each cluster dealt to as many tasks as its size needs, in order of pos within a file."""
-    pieces = {int(c): math.ceil(n / FILE_ROWS) for c, n in enumerate(sizes) if n > FILE_ROWS}
-    piece = F.lit(0)
-    for c, n in pieces.items():
-        piece = F.when(F.col("cid") == c, F.pmod(F.xxhash64("id"), F.lit(n))).otherwise(piece)
-    dealt = rows.withColumn("piece", piece)
-    dealt.repartition("cid", "piece").drop("piece").sortWithinPartitions("cid", "pos").write.partitionBy("cid").parquet(path)
+    """Rows (id, v, pos, metadata, cid), in order of pos within a file."""
+    together = dealt(rows, sizes).repartition("cid", "piece").sortWithinPartitions("cid", "pos")
+    together.select("id", "v", "pos", "metadata", "cid").write.partitionBy("cid").parquet(path)
+
+
+def told_bytes(clusters: int) -> int:
+    """What a broadcast table of a few numbers per cluster takes, generously."""
+    return 64 * clusters
+
+
+def posting_sizes(postings: DataFrame, n_clusters: int) -> np.ndarray:
+    """Rows of every cluster, from one grouped count that reads no column but the partition's."""
+    sizes = np.zeros(n_clusters, np.int64)
+    for r in postings.groupBy("cid").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r.cid] = r.n
+    return sizes
 
 
 def write_centroids(spark: SparkSession, centroids: np.ndarray, sizes: np.ndarray, path: str) -> None:
-    rows = [(c, [float(x) for x in v], int(n)) for c, (v, n) in enumerate(zip(centroids, sizes))]
-    spark.createDataFrame(rows, CENTROIDS_SCHEMA).coalesce(1).write.parquet(path)
+    c = pa.ListArray.from_arrays(pa.array(np.arange(len(centroids) + 1, dtype=np.int32) * centroids.shape[1]), pa.array(centroids.ravel()))
+    table = pa.table({"cid": np.arange(len(centroids), dtype=np.int32), "c": c, "n": sizes})
+    spark.createDataFrame(table, CENTROIDS_SCHEMA).coalesce(1).write.parquet(path)
 
 
 def write_manifest(spark: SparkSession, manifest: dict, path: str) -> None:
-    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    Files(spark, path).write(f"{path}/manifest.json", json.dumps(manifest, ensure_ascii=False) + "\n")
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:

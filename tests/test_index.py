@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from concurrent.futures import ThreadPoolExecutor
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ravelin import VectorIndex, cli
 from ravelin.index import devices
-from ravelin.operators import clustering, metrics, search
+from ravelin.operators import clustering, kernels, metrics, search
+from ravelin.sources import store
 from ravelin.streaming.search_stream import search_stream
 
 ROWS, DIM = 101, 17
@@ -202,7 +204,8 @@ def test_empty_clusters_restart_and_can_be_probed(spark, tmp_path):
 def test_lloyd_step_matches_brute_force(spark, matrix):
     unit = (matrix.astype(float) / np.linalg.norm(matrix.astype(float), axis=1, keepdims=True)).astype(np.float32).astype(float)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(unit)], "id long, v array<float>")
-    got = clustering.lloyd_step(df, unit[:5])
+    got, sizes = clustering.lloyd_step(df, unit[:5])
+    assert sizes.sum() == ROWS
     label = (unit @ unit[:5].T).argmax(axis=1)
     want = np.array([unit[label == c].mean(axis=0) for c in range(5)])
     assert got == pytest.approx(want / np.linalg.norm(want, axis=1, keepdims=True), abs=1e-6)
@@ -247,3 +250,87 @@ def test_stream_of_queries(spark, index, matrix, tmp_path):
     stream = search_stream(spark.readStream.schema(queries.schema).parquet(str(tmp_path / "in")), index, lambda df, n: got.extend(df.collect()), str(tmp_path / "checkpoint"), k=1, nprobe=8)
     stream.awaitTermination(120)
     assert sorted((r.qid, r.id) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_arrays_ids_and_metadata(spark, tmp_path, matrix):
+    index = VectorIndex.build(spark, str(tmp_path / "a"), matrix, n_clusters=3)
+    assert [r["id"] for r in index.search(matrix[7], 2, 3)] == [i for i, _ in exact(matrix, matrix[7], 2)] and not index.has_metadata
+    index = VectorIndex.build(spark, str(tmp_path / "b"), matrix[:4].tolist(), ids=np.array([5, 6, 7, 2**63 - 1], dtype=np.uint64), metadata=[{"x": 1}, {"_id": 9}, {"y": [None]}, {}], n_clusters=2)
+    assert index.search(matrix[3], 1, 2)[0]["id"] == 2**63 - 1 and index.search(matrix[1], 1, 2)[0]["metadata"] == {"_id": 6}
+    bad = [({"ids": [1]}, ValueError), ({"ids": [0, 0]}, ValueError), ({"ids": [0.0, 1.0]}, TypeError), ({"ids": [True, False]}, TypeError), ({"ids": np.array([1, 2**63], dtype=np.uint64)}, ValueError), ({"metadata": [{}]}, ValueError), ({"metadata": [{}, {"a": float("nan")}]}, ValueError), ({"metadata": [{}, [1]]}, ValueError)]
+    for k, error in bad:
+        with pytest.raises(error):
+            VectorIndex.build(spark, str(tmp_path / "c"), matrix[:2], **k)
+    for vectors in (np.zeros((0, 3)), np.zeros(3), np.zeros((2, 0)), [[1.0], [float("nan")]]):
+        with pytest.raises(ValueError):
+            VectorIndex.build(spark, str(tmp_path / "c"), vectors)
+    assert sorted(os.listdir(tmp_path)) == ["a", "b"]
+
+
+def test_thousands_of_large_clusters_are_dealt(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "FILE_ROWS", 1)
+    rows = spark.range(10_000).selectExpr("id", "array(cast(id as float)) v", "id pos", "cast(null as string) metadata", "cast(id % 5000 as int) cid")
+    for limit in (store.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(store, "BROADCAST_BYTES", limit)
+        pieces = store.dealt(rows, np.full(5000, 4)).groupBy("piece").count().collect()
+        assert sorted(r.piece for r in pieces) == [0, 1, 2, 3] and sum(r["count"] for r in pieces) == 10_000
+    few = rows.filter("id < 60").withColumn("cid", (F.col("id") % 6).cast("int"))
+    store.write_postings(few, np.array([10] * 5 + [1]), f"{tmp_path}/postings")
+    back = store.read_postings(spark, str(tmp_path))
+    assert (store.posting_sizes(back, 6) == 10).all() and back.agg(F.sum("id")).first()[0] == sum(range(60))
+
+
+def test_a_pass_sends_a_row_per_cluster(spark):
+    rng = np.random.default_rng(8)
+    centroids = kernels.unit(rng.normal(size=(4096, 768))).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, centroids[i * 8].tolist()) for i in range(500)], "id long, v array<float>")
+    sizes, sums = clustering.cluster_sums(rows, centroids)
+    assert sizes.sum() == 500 and (sizes[::8][:500] == 1).all()
+    assert (sums[::8][:500] == np.floor(centroids[::8][:500] * clustering.UNITS + 0.5)).all()
+
+
+def test_many_centroids_go_in_groups(spark, matrix, monkeypatch):
+    unit = kernels.unit(matrix.astype(float)).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(unit)], "id long, v array<float>, other string")
+    centroids = np.concatenate([unit[:9], unit[:9]])  # ties go to the first
+    queries = rows.selectExpr("id as qid", "v as q")
+
+    def run():
+        labels = {r.id: r.cid for r in clustering.assign(rows, centroids).collect()}
+        probes = sorted((r.qid, r.rank, r.cid) for r in search.probed(queries, centroids, 5).collect())
+        return labels, probes, [x.tolist() for x in clustering.cluster_sums(rows, centroids)]
+
+    whole = run()
+    assert whole[0] == dict(enumerate((unit @ unit[:9].T).argmax(axis=1).tolist()))
+    monkeypatch.setattr(clustering, "BROADCAST_BYTES", 4 * DIM * 4)
+    monkeypatch.setattr(clustering, "SUM_BYTES", 1)
+    assert run() == whole
+
+
+def test_seeds_begin_the_seeded_order(spark, matrix):
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(3000)], "id long, v array<float>")
+    want = sorted(range(3000), key=lambda i: hashlib.md5(f"5:{i}".encode()).hexdigest())[:7]
+    assert clustering.seed_centroids(rows, 7, 5)[:, 0].tolist() == want
+    assert clustering.seed_centroids(rows, 7, 5, 10**9)[:, 0].tolist() == want  # too few at first
+    assert len(clustering.seed_centroids(rows.limit(3), 7, 5)) == 3
+
+
+def test_large_batches_are_joined(spark, index, matrix, monkeypatch):
+    queries = spark.createDataFrame([(i, [float(x) for x in matrix[i]]) for i in range(60)], "qid long, q array<float>")
+    want = {n: sorted(map(tuple, index.search_batch(queries, 6, n).collect())) for n in (1, 3, 8)}
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(search, "PIECE_ROWS", 5)
+    monkeypatch.setattr(search, "PIECE_QUERIES", 7)
+    monkeypatch.setattr(search, "PACKED", 4)
+    for n, rows in want.items():
+        assert sorted(map(tuple, index.search_batch(queries, 6, n).collect())) == rows
+    assert sorted(map(tuple, index.search_batch(queries, 6, exact=True).collect())) == want[8]
+    with pytest.raises(Exception, match="finite"):
+        index.search_batch(queries.withColumn("q", F.expr("transform(q, x -> x * cast('inf' as float))")), 6).collect()
+    plan = index.search_batch(queries, 6, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_scores_of_odd_vectors(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [])], "id long, v array<float>")
+    assert {r.id: r.score for r in search.scored(rows, np.array([3, 4]), "v", ["id"]).collect()} == {1: 11.0, 2: None, 3: None, 4: None}

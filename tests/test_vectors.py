@@ -71,6 +71,19 @@ def test_top_pairs_are_those_of_all_scores(n, n_queries, dim, k):
     assert got == wanted
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 30), st.integers(1, 12), st.integers(1, 4), st.integers(0, 10**6))
+def test_nearest_is_the_first_of_the_best(n, k, dim, seed):
+    rng = np.random.default_rng(seed)
+    rows, centroids = rng.integers(-2, 3, (n, dim)).astype(float), rng.integers(-2, 3, (k, dim)).astype(float)  # with many ties
+    before, kernels.COLUMNS, kernels.BLOCK = (kernels.COLUMNS, kernels.BLOCK), 3, 7
+    try:
+        got = kernels.nearest(rows, centroids)
+    finally:
+        kernels.COLUMNS, kernels.BLOCK = before
+    assert got.tolist() == [int(kernels.scores(centroids, r.reshape(1, -1))[:, 0].argmax()) for r in rows]
+
+
 def test_matrix_of_sliced_lists():
     column = pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]], pa.list_(pa.float32()))
     assert kernels.matrix_of(column[1:]).tolist() == [[3, 4], [5, 6]]
