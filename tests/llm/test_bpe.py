@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 
 import edge
 import numpy as np
@@ -42,6 +43,30 @@ def test_small_word_table(truth, monkeypatch):
         assert ids_of(coder.encode([text])[0]) == truth.encode_ordinary(text)
 
 
+def test_long_words(truth, monkeypatch):
+    rnd = random.Random(3)
+    coder = bpe.MergeReplay(PATH)
+    began = time.process_time()
+    for word in ("ab" * 500_000, "QmFzZTY0" * 125_000, "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))):
+        packed = coder.encode([word])[0]
+        assert coder.decode(packed) == word.encode()
+    assert time.process_time() - began < 60  # 20 times the length of what took that long when it was quadratic
+    monkeypatch.setattr(bpe, "LONG", 3)
+    coder = bpe.MergeReplay(PATH)
+    for _ in range(600):
+        word = "".join(rnd.choices("abe tion=+/é"[: rnd.randrange(1, 13)], k=rnd.choice([4, 30, 500])))
+        assert ids_of(coder.encode([word])[0]) == truth.encode_ordinary(word)
+
+
+def test_texts_wait_for_a_replay(spark, truth, monkeypatch):
+    monkeypatch.setattr(bpe, "PENDING", 2)
+    monkeypatch.setattr(bpe, "NUMBERS", 5)
+    monkeypatch.setattr(bpe, "WORDS", 4)
+    docs = edge.documents(spark)
+    got = {r.doc_id: r.ids for r in bpe.encode(docs.unionByName(docs), ["doc_id", "lang"]).collect()}
+    assert got == {i: truth.encode_ordinary(t or "") for i, t in enumerate(edge.TEXTS)}
+
+
 def test_edges_and_round_trip(spark, truth):
     docs = edge.documents(spark, extra=True)
     got = {r.doc_id: r for r in bpe.encode(docs, ["doc_id"], decoded=True).collect()}
