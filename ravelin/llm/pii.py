@@ -4,19 +4,24 @@ Base patterns give e-mail, IP, card and phone spans; looser patterns propose fur
 addresses, phone numbers without a country code, national and bank numbers, names after titles or from a gazetteer,
 and card- or IP-like digits that fail their test). Labelers vote on every candidate: its format, a gazetteer, a checksum, the words
 around it, and what it sticks to. Votes are counted over the whole corpus by pattern (there are at most
-3^5 for each kind), expectation-maximisation estimates the labelers' reliabilities from those counts, and a logistic span
-classifier is trained on the resulting soft labels. Base spans always stay; candidates stay where the classifier
-says so and no base span overlaps.
-
-Spans are (kind, start, end) in code points, the end exclusive. Defined results: null, empty and long texts are scanned
-whole, the first two have no spans; repeated rows are scanned each; without candidates the classifier keeps its prior;
-an empty table gives an empty result; extra columns are ignored, or kept by redaction.
+3^5 for each kind), and expectation-maximisation estimates the labelers' reliabilities from those counts. The soft labels that
+follow train a logistic span classifier, whose inputs are the kind, the votes and what the labelers don't see: length, shares of
+digits and capitals, separators, and the words before and after. It is fitted on about `TRAIN_SPANS` candidates, chosen by a hash of
+the candidate and its text's row. Base spans always stay; candidates stay where the classifier says so. A candidate never overlaps a base span
+or another candidate; base spans of different kinds may overlap each other.
+
+Spans are (kind, start, end) in code points, the end exclusive. Defined results: null, empty and very long texts are scanned
+whole, the first two have no spans; repeated rows are scanned each; of candidates that begin together the longer comes first, then the
+earlier kind; without candidates the classifier keeps its prior; an empty table gives an empty result; extra columns are ignored, or
+kept by redaction.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +36,8 @@ KINDS = (*BASE, "spelled_email", "local_phone", "national_id", "iban", "name", "
 LABELERS = ("format", "gazetteer", "checksum", "context", "neighbours")
 #: Characters before and after a candidate that the context labeler reads; probability from which a candidate is a span.
 WINDOW, KEEP = 40, 0.5
+#: Candidates that the classifier is fitted on at most (about); buckets of neighbouring words.
+TRAIN_SPANS, WORD_BUCKETS = 20_000, 64
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -61,6 +68,7 @@ _FOR = {
 }
 _CONTEXT = {kind: frozenset(words.split()) for kind, words in _FOR.items()}
 _AGAINST = frozenset("version release build chapter section isbn order invoice token password secret hash".split())
+_ENDINGS = frozenset("com org net edu gov info io eu de fr es uk ch at it nl".split())
 _TOKENS = re.compile(r"[^\W_][\w-]*")
 
 
@@ -130,7 +138,10 @@ def votes(text: str, kind: str, lo: int, hi: int) -> tuple[int, ...]:
     form = {"national_id": 1 if digits[:3] not in ("000", "666") and digits[:1] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else -1, "local_phone": 1 if digits[:1] not in "01" else -1, "card_like": 0 if digits[:1] in "3456" else -1, "ip_like": -1}.get(kind, 1)
     words = found.split()
     named = kind == "name" and any(w.strip(".") in GIVEN for w in words)
-    gazetteer = 1 if named or kind == "spelled_email" and words[-1].lower().rstrip(")]}") in {"com", "org", "net", "edu", "de", "fr", "es"} else 0
+    if kind == "spelled_email":
+        gazetteer = 1 if words[-1].lower().rstrip(")]}") in _ENDINGS else -1
+    else:
+        gazetteer = int(named)
     checksum = (1 if _iban_valid(found) else -1) if kind == "iban" else -1 if kind == "card_like" else 0
     near = {w.lower() for w in _TOKENS.findall(text[max(0, lo - WINDOW) : lo])} | {w.lower() for w in _TOKENS.findall(text[hi : hi + WINDOW // 2])}
     context = 1 if near & _CONTEXT[kind] else -1 if near & _AGAINST else 0
@@ -139,17 +150,55 @@ def votes(text: str, kind: str, lo: int, hi: int) -> tuple[int, ...]:
     return form, gazetteer, checksum, context, neighbours
 
 
-def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str]]]:
-    """Base spans; candidates that overlap none of them, with their votes as text like `+00-0`."""
+def merged(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint ranges that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, lo, hi in sorted(spans, key=lambda s: s[1]):
+        if ends and lo < ends[-1]:
+            ends[-1] = max(ends[-1], hi)
+        else:
+            starts.append(lo)
+            ends.append(hi)
+    return starts, ends
+
+
+#: Groups of the classifier's inputs, each of which has one input at most, and their sizes.
+_GROUPS = {"kind": len(KINDS) - len(BASE), **{f"{x}{sign}": 1 for x in LABELERS for sign in "+-"}, "length": 10, "digits": 5, "capitals": 4, "separators": 5, "before": WORD_BUCKETS, "after": WORD_BUCKETS}
+_FIRST = dict(zip(_GROUPS, np.cumsum([0, *_GROUPS.values()]).tolist()))
+INPUTS = sum(_GROUPS.values())
+
+
+def inputs(text: str, kind: str, lo: int, hi: int, said: str) -> list[int]:
+    """The classifier's inputs that are 1 for a candidate."""
+    found = text[lo:hi]
+    size = hi - lo
+    before, after = _TOKENS.findall(text[max(0, lo - WINDOW) : lo]), _TOKENS.findall(text[hi : hi + WINDOW])
+    place = {
+        "kind": KINDS.index(kind) - len(BASE),
+        "length": min(9, size // 4),
+        "digits": 4 * sum(c.isdigit() for c in found) // size,
+        "capitals": min(3, 6 * sum(c.isupper() for c in found) // size),
+        "separators": min(4, sum(not c.isalnum() for c in found)),
+        "before": zlib.crc32(before[-1].lower().encode()) % WORD_BUCKETS if before else None,
+        "after": zlib.crc32(after[0].lower().encode()) % WORD_BUCKETS if after else None,
+        **{f"{x}{c}": 0 for x, c in zip(LABELERS, said) if c != "0"},
+    }
+    return [_FIRST[group] + n for group, n in place.items() if n is not None]
+
+
+def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, str, list[int]]]]:
+    """Base spans; candidates that overlap none of them, with their votes as text like `+00-0` and their inputs."""
     text = text or ""
     base, failed = base_spans(text)
-    taken = sorted((lo, hi) for _, lo, hi in base)
+    starts, ends = merged(base)
     out = []
     for kind, lo, hi in sorted([*failed, *candidates(text)], key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
-        at = int(np.searchsorted(np.array([t[1] for t in taken]), lo, side="right")) if taken else 0
-        if at < len(taken) and taken[at][0] < hi or out and out[-1][2] > lo:
+        at = bisect_right(ends, lo)
+        if at < len(ends) and starts[at] < hi or out and out[-1][2] > lo:
             continue
-        out.append((kind, lo, hi, "".join("-0+"[v + 1] for v in votes(text, kind, lo, hi))))
+        said = "".join("-0+"[v + 1] for v in votes(text, kind, lo, hi))
+        out.append((kind, lo, hi, said, inputs(text, kind, lo, hi, said)))
     return base, out
 
 
@@ -177,40 +226,46 @@ def em(patterns: dict[tuple[str, str], int], rounds: int = 100) -> tuple[dict[st
     return dict(zip(kinds, share.tolist())), right, dict(zip(keys, p.tolist()))
 
 
-def _inputs(kind: str, pattern: str) -> list[float]:
-    return [1.0, *(float(kind == k) for k in KINDS[len(BASE) :]), *(float(c == "+") for c in pattern), *(float(c == "-") for c in pattern)]
-
-
-def train(patterns: dict[tuple[str, str], int]) -> list[float]:
-    """Weights of the span classifier, fitted to the soft labels of all candidates."""
-    size = len(_inputs("name", "0" * len(LABELERS)))
-    prior = np.array([-1.0] + [0.0] * (len(KINDS) - len(BASE)) + [1.0] * len(LABELERS) + [-1.5] * len(LABELERS))
-    if not patterns:
-        return prior.tolist()
-    _, _, soft = em(patterns)
-    x = np.array([_inputs(*k) for k in soft])
-    n, y = np.array([float(patterns[k]) for k in soft]), np.array([*soft.values()])
-    n = n / max(1.0, n.sum() / 10_000)
-    w = prior.copy()
+def prior() -> tuple[np.ndarray, np.ndarray]:
+    """Mean and precision of the bias and the weights before any candidate is seen."""
+    mean, precision = np.zeros(INPUTS + 1), np.ones(INPUTS + 1)
+    mean[0] = -1.0
+    for x in LABELERS:
+        mean[1 + _FIRST[f"{x}+"]], mean[1 + _FIRST[f"{x}-"]] = 1.0, -1.5
+    for group in ("length", "digits", "capitals", "separators", "before", "after"):  # they only refine what the votes say
+        precision[1 + _FIRST[group] : 1 + _FIRST[group] + _GROUPS[group]] = 10.0
+    return mean, precision
+
+
+def train(rows: list[tuple[list[int], float]]) -> np.ndarray:
+    """Bias and weights fitted to (inputs, soft label) of candidates, by Newton's method."""
+    mean, precision = prior()
+    if not rows:
+        return mean
+    x, y = np.zeros((len(rows), INPUTS + 1)), np.array([label for _, label in rows])
+    x[:, 0] = 1.0
+    for i, (places, _) in enumerate(rows):
+        x[i, np.array(places, dtype=int) + 1] = 1.0
+    w = mean.copy()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(size), x.T @ (n * (p - y)) + (w - prior))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(precision), x.T @ (p - y) + precision * (w - mean))
         w = w - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return w.tolist()
+    return w
 
 
 _SPAN = "struct<kind:string,start:bigint,end:bigint>"
-_FOUND = f"base array<{_SPAN}>, extra array<struct<kind:string,start:bigint,end:bigint,votes:string>>"
+_FOUND = f"base array<{_SPAN}>, extra array<struct<kind:string,start:bigint,end:bigint,votes:string,inputs:array<int>>>"
 
 
 def _dicts(spans: list[tuple]) -> list[dict]:
-    return [dict(zip(("kind", "start", "end", "votes"), s)) for s in spans]
+    return [dict(zip(("kind", "start", "end", "votes", "inputs"), s)) for s in spans]
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns to keep, base spans, and candidates with their votes."""
+    """The columns to keep, base spans, and candidates with their votes and inputs."""
 
     def start():
         def call(texts):
@@ -222,20 +277,39 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     return map_columns(docs.select(*keep, F.col("text").cast("string").alias("__pii_text")), _FOUND, start, keep=keep)
 
 
-def classifier(found: DataFrame) -> dict[tuple[str, str], float]:
-    """Probability of every pattern of votes that occurs, from whole-corpus counts (a bounded number of rows)."""
-    rows = found.select(F.explode("extra").alias("s")).groupBy("s.kind", "s.votes").agg(F.count(F.lit(1)).alias("n")).collect()
-    weights = train({(r.kind, r.votes): r.n for r in rows})
-    return {(r.kind, r.votes): 1 / (1 + math.exp(-max(-30.0, min(30.0, float(np.dot(_inputs(r.kind, r.votes), weights)))))) for r in rows}
+def classifier(found: DataFrame, spans: int = TRAIN_SPANS) -> np.ndarray:
+    """Bias and weights, from the vote patterns of the whole corpus (a bounded number of rows) and about so many candidates."""
+    each = found.select(F.explode("extra").alias("s")).select("s.*")
+    patterns = {(r.kind, r.votes): r.n for r in each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not patterns:
+        return train([])
+    _, _, soft = em(patterns)
+    # Every pattern keeps at least a hundredth of the sample, so that rare ones are seen too; what a pattern lacks or has too much is weighed by its count.
+    share = min(1.0, spans / sum(patterns.values()))
+    chance = F.create_map(*(F.lit(x) for (k, v), n in sorted(patterns.items()) for x in (k + v, min(1.0, max(share, spans / 100 / n)))))
+    drawn = F.pmod(F.xxhash64("kind", "start", "end", "inputs"), F.lit(1 << 20)) / float(1 << 20)
+    rows = each.filter(drawn < chance[F.concat("kind", "votes")]).groupBy("kind", "votes", "inputs").agg(F.count(F.lit(1)).alias("n"))
+    picked = rows.orderBy(F.xxhash64("kind", "votes", "inputs"), "kind", "votes", "inputs").limit(spans).collect()
+    return train([(list(r.inputs), soft[r.kind, r.votes]) for r in picked])
 
 
-def decide(found: DataFrame, chances: dict[tuple[str, str], float]) -> DataFrame:
-    """Adds `spans`: base spans and the candidates that the classifier keeps, by start, then kind."""
-    kept = [k + v for (k, v), p in sorted(chances.items()) if p >= KEEP]
+def kept(extra: str, weights: np.ndarray) -> F.Column:
+    """The candidates that the classifier keeps."""
+    table = F.array(*(F.lit(float(w)) for w in weights[1:]))
+    least = math.log(KEEP / (1 - KEEP)) - float(weights[0])
+    return F.filter(extra, lambda s: F.aggregate(F.transform(s["inputs"], lambda i: F.element_at(table, i + 1)), F.lit(0.0), lambda a, x: a + x) >= least)
+
+
+def ranked(spans: F.Column) -> F.Column:
+    """By start, then kind."""
     order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
-    extra = F.filter("extra", lambda s: F.concat(s["kind"], s["votes"]).isin(kept)) if kept else F.filter("extra", lambda s: F.lit(False))
-    plain = F.transform(extra, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    ranked = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    sorted_ = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.transform(sorted_, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def decide(found: DataFrame, weights: np.ndarray) -> DataFrame:
+    """Adds `spans`: base spans and the candidates that the classifier keeps, by start, then kind."""
+    plain = F.transform(kept("extra", weights), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return found.withColumn("spans", ranked(F.concat("base", plain))).withColumn("base", ranked(F.col("base")))
 
 
@@ -263,24 +337,13 @@ def redact_text(text: str | None, spans: list[dict]) -> str | None:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All documents and columns, with personal data replaced in text and n_chars counted anew."""
-    chances = classifier(materialize(scanned(docs, []), "pii"))
-    keep = {k + v for (k, v), p in chances.items() if p >= KEEP}
-
-    def start():
-        def call(texts):
-            out = []
-            for text in texts:
-                base, extra = scan(text)
-                spans = _dicts([*base, *(x[:3] for x in extra if x[0] + x[3] in keep)])
-                out.append(redact_text(text, sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"])))))
-            return [out]
-
-        return call
-
-    rows = map_columns(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), "clean string", start, keep=["row"])
+    """All documents and columns, with personal data replaced in text and n_chars counted anew. Texts are scanned once."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    found = materialize(scanned(rows, ["row"]), "pii")
+    decided = decide(found, classifier(found)).select("row", F.col("row.text").cast("string").alias("text"), "spans")
+    done = map_columns(decided, "clean string", lambda: lambda texts, spans: [[redact_text(t, s) for t, s in zip(texts, spans)]], keep=["row"])
     changed = {"text": F.col("clean"), **({"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
-    return rows.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return done.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

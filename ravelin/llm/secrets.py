@@ -6,7 +6,9 @@ that base patterns label and from generated samples, one of ordinary identifiers
 are counts of character pairs, summed over the whole corpus before anything leaves its task. A candidate is a
 secret if its log-likelihood ratio exceeds a threshold per character and in total. Base spans always stay.
 
-Spans are (kind, start, end) in code points, the end exclusive. Defined results: null, empty and long texts are scanned
+Texts are scanned once: the pass that counts also writes each text's base spans and candidates, which are scored when the models are known.
+
+Spans are (kind, start, end) in code points, the end exclusive. Defined results: null, empty and very long texts are scanned
 whole, the first two have no spans; repeated rows are scanned each; without any text the models rest on the generated samples;
 an empty table gives an empty result; extra columns are ignored.
 """
@@ -23,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from ravelin.llm.arrow import map_columns
-from ravelin.runtime import prepare
+from ravelin.llm.arrow import give_back, map_columns
+from ravelin.runtime import materialize, prepare
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
@@ -81,10 +83,31 @@ def generated(seed: int = 7, n: int = GENERATED) -> list[str]:
     return ["".join(rnd.choices(chars, k=rnd.randrange(16, 65))) for chars in sets for _ in range(n)]
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(secret, pair, n): pairs of characters in labelled secrets and in other words, added up within each task first."""
+_SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
+
+
+def parts(text: str, base: list[tuple[str, int, int]]) -> tuple[list[str], list[str]]:
+    """(labelled secrets, words outside base spans); base spans come by start."""
+    values: list[str] = []
+    words: list[str] = []
+    at = 0
+    for kind, lo, hi in base:
+        if lo >= at:
+            words += _WORD.findall(text[at:lo])
+            values.append(_ASSIGN.match(text, lo).group(1) if kind == "assign" else text[lo:hi])
+        at = max(at, hi)
+    words += _WORD.findall(text[at:])
+    return values, words
+
+
+def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep, `base` spans and `candidates` of every row; and for each task a row with nulls but for `pairs`.
+
+    pairs: how often a character follows another (secret, pair, n) in labelled secrets and in other words, summed over the task.
+    """
     prepare(docs.sparkSession)
-    schema = _parse_datatype_string("secret boolean, pair int, n long")
+    rows = docs.select(*keep, F.col("text").cast("string").alias("__secret_text"))
+    schema = StructType([StructField(f.name, f.dataType) for f in rows.schema.fields[: len(keep)]] + _parse_datatype_string(f"base {_SPANS}, candidates array<struct<start:bigint,end:bigint,word:string>>, pairs array<struct<secret:boolean,pair:int,n:bigint>>").fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,23 +115,24 @@ def counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             values: list[str] = []
             words: list[str] = []
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                at = 0
-                for kind, lo, hi in sorted(base_spans(text), key=lambda s: s[1]):
-                    if lo >= at:
-                        words += _WORD.findall(text[at:lo])
-                        values.append(_ASSIGN.match(text, lo).group(1) if kind == "assign" else text[lo:hi])
-                    at = max(at, hi)
-                words += _WORD.findall(text[at:])
+            bases, found = [], []
+            for text in batch.column(len(keep)).to_pylist():
+                base = in_order(base_spans(text)) if text else []
+                bases.append([dict(zip(("kind", "start", "end"), s)) for s in base])
+                found.append([{"start": lo, "end": hi, "word": text[lo:hi]} for lo, hi in candidates(text, base)] if text else [])
+                if text:
+                    secret, other = parts(text, base)
+                    values += secret
+                    words += other
             total[1] += pair_counts(values)
             total[0] += pair_counts(words)
-        for secret in (0, 1):
-            pairs = np.flatnonzero(total[secret])
-            yield pa.RecordBatch.from_arrays([pa.array([bool(secret)] * len(pairs)), pa.array(pairs.astype(np.int32)), pa.array(total[secret][pairs])], schema=arrow)
+            out = [*batch.columns[: len(keep)], pa.array(bases, arrow.field("base").type), pa.array(found, arrow.field("candidates").type), pa.nulls(len(bases), arrow.field("pairs").type)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(out, arrow)], schema=arrow)
+        told = [{"secret": bool(secret), "pair": int(i), "n": int(total[secret][i])} for secret in (0, 1) for i in np.flatnonzero(total[secret])]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(arrow)[:-1]), pa.array([told], arrow.field("pairs").type)], schema=arrow)
+        give_back()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema).groupBy("secret", "pair").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, schema)
 
 
 def log_ratios(ordinary: np.ndarray, secret: np.ndarray) -> np.ndarray:
@@ -121,10 +145,11 @@ def log_ratios(ordinary: np.ndarray, secret: np.ndarray) -> np.ndarray:
     return np.log(tables[0]) - np.log(tables[1])
 
 
-def train(docs: DataFrame) -> np.ndarray:
-    """The ratio table; at most 2 * SIZE^2 counts reach the driver."""
+def train(found: DataFrame) -> np.ndarray:
+    """The ratio table from scanned rows; at most 2 * SIZE^2 counts reach the driver."""
     total = np.zeros((2, SIZE * SIZE))
-    for r in counts(docs).collect():
+    pairs = found.filter(F.col("pairs").isNotNull()).select(F.inline("pairs")).groupBy("secret", "pair").agg(F.sum("n").alias("n"))
+    for r in pairs.collect():
         total[int(r.secret), r.pair] = r.n
     own = pair_counts(generated())
     weight = max(1.0, total[1].sum() / own.sum())  # generated strings count as much as labelled ones
@@ -141,37 +166,37 @@ def is_secret(word: str, table: np.ndarray) -> bool:
     return score >= IN_TOTAL and score >= PER_CHARACTER * len(word)
 
 
-def scan(text: str | None, table: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans; all spans, by start, then kind."""
-    text = text or ""
-    base = sorted(base_spans(text), key=lambda s: (s[1], KINDS.index(s[0])))
-    extra = [("random", lo, hi) for lo, hi in candidates(text, base) if is_secret(text[lo:hi], table)]
-    return base, sorted([*base, *extra], key=lambda s: (s[1], KINDS.index(s[0])))
+def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """By start, then kind."""
+    return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-_SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
-
-
-def scanned(docs: DataFrame, keep: list[str], table: np.ndarray) -> DataFrame:
-    """The columns to keep, `base` spans and all `spans`."""
+def decided(found: DataFrame, keep: list[str], table: np.ndarray) -> DataFrame:
+    """The columns to keep, `base` spans and all `spans` of scanned rows."""
 
     def start():
-        def dicts(spans):
-            return [dict(zip(("kind", "start", "end"), s)) for s in spans]
-
-        def call(texts):
-            found = [scan(t, table) for t in texts]
-            return [dicts(b) for b, _ in found], [dicts(s) for _, s in found]
+        def call(bases, candidates):
+            out = []
+            for base, own in zip(bases, candidates):
+                extra = [{"kind": "random", "start": c["start"], "end": c["end"]} for c in own if is_secret(c["word"], table)]
+                out.append(sorted([*base, *extra], key=lambda s: (s["start"], KINDS.index(s["kind"]))) if extra else base)
+            return [out]
 
         return call
 
-    return map_columns(docs.select(*keep, F.col("text").cast("string").alias("__secret_text")), f"base {_SPANS}, spans {_SPANS}", start, keep=keep)
+    rows = found.filter(F.col("pairs").isNull()).select(*keep, "base", F.col("base").alias("__base"), "candidates")
+    return map_columns(rows, f"spans {_SPANS}", start, keep=[*keep, "base"])
+
+
+def secrets_of(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns to keep, `base` spans and all `spans` of every row."""
+    found = materialize(scanned(docs, keep), "secrets")
+    return decided(found, keep, train(found))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query: secrets in every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = scanned(docs, ["doc_id"], train(docs))
+    found = secrets_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
