@@ -1,29 +1,34 @@
 """Benchmark decontamination by Wu-Manber search over words.
 
 A benchmark item gives its windows of `WINDOW` consecutive words, or itself as one window if it is shorter.
-Windows of equal length share a table: blocks of two words, with the distance by which the search may
-advance when that block ends the place looked at; where that is zero, the bucket of the block holds the windows
-that end so, told apart by their first block, and a direct comparison confirms them.
+Windows of equal length share a table: blocks of two words, hashed, with the distance by which the search may advance when that
+block ends the place looked at; where that is zero, the bucket of the block's hash holds the windows that end so, in order of their
+words, and a direct comparison of all words finds the one that is meant. A word that no item has rules out every window over it.
 
-The windows travel to the executors in groups of items of at most `GROUP_BYTES`; a larger benchmark takes several
-passes, each adding to the hits of every row.
+Tables are flat arrays over numbered words, made once and broadcast, in groups whose tables take at most about `TABLE_BYTES`; a
+larger benchmark takes several passes, each adding to the hits of every row. A long item is dealt to several groups where needed.
 
 Defined results: null and wordless texts have no words and no hits; null, empty and wordless items have no
-windows; a null item_id marks words but is not listed; a repeated item_id counts once; repeated documents each
-give their row; with an empty benchmark nothing is hit; extra columns are ignored.
+windows; very long texts and items are searched whole; a null item_id marks words but is not listed; a repeated item_id counts
+once; repeated documents each give their row; with an empty benchmark nothing is hit; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravelin.llm.arrow import map_columns
 from ravelin.runtime import materialize
 
-WINDOW, GROUP_BYTES = 10, 32 << 20
+WINDOW, TABLE_BYTES = 10, 128 << 20
+#: What a word of an item and a distinct word take in the tables of a group, generously.
+WORD_BYTES, DISTINCT_BYTES = 64, 160
+_MIX = 0x9E3779B1
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -34,66 +39,100 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Windows of one length, as tuples of words."""
-
-    def __init__(self, windows: dict[tuple, list[int]], length: int):
-        self.length, self.block = length, min(2, length)
-        self.furthest = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, dict[tuple, list[int]]]] = {}
-        b = self.block
-        for window, items in windows.items():
-            for end in range(b, length + 1):
-                block = window[end - b : end]
-                self.shift[block] = min(self.shift.get(block, self.furthest), length - end)
-            self.buckets.setdefault(window[-b:], {}).setdefault(window[:b], {})[window] = items
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+    """Windows of one length: they begin at `starts` in the numbered words of all items, and belong to `owners`."""
+
+    def __init__(self, length: int, words: np.ndarray, starts: np.ndarray, owners: np.ndarray):
+        self.length, block = length, min(2, length)
+        m = words[starts[:, None] + np.arange(length)]
+        order = np.lexsort((owners, *m.T[::-1]))
+        m, starts, owners = m[order], starts[order], owners[order]
+        fresh = np.append(True, (m[1:] != m[:-1]).any(axis=1))
+        mine = fresh | np.append(True, owners[1:] != owners[:-1])  # an item may repeat a window
+        number = np.cumsum(fresh) - 1
+        bits = max(10, int(4 * fresh.sum()).bit_length())
+        self.mask = (1 << bits) - 1
+        m = m[fresh].astype(np.int64)
+        hashed = lambda a, b: (a * _MIX + b) & self.mask
+        suffix = hashed(m[:, -2], m[:, -1]) if block == 2 else m[:, -1] & self.mask
+        place = np.argsort(suffix, kind="stable")
+        self.words, self.starts = words, starts[fresh][place]
+        self.head = np.searchsorted(suffix[place], np.arange((1 << bits) + 1)).astype(np.int32)
+        ends = np.append(0, np.cumsum(np.bincount(number[mine], minlength=len(m))))
+        self.owners, self.own = owners[mine], np.stack([ends[place], ends[place + 1]], axis=1).astype(np.int32)
+        self.furthest = length - block + 1
+        shift = np.full(1 << bits, min(255, self.furthest), dtype=np.uint8)
+        if block == 2:
+            for end in range(2, length + 1):
+                np.minimum.at(shift, hashed(m[:, end - 2], m[:, end - 1]), min(255, length - end))
+        self.shift = shift.tobytes()
+
+    def search(self, text: list[bytes], number: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray]]:
         """(first word, items) of every occurrence."""
-        length, n, furthest, at = self.length, len(words), self.furthest, self.length - 1
-        shift, buckets = self.shift.get, self.buckets
-        if self.block == 1:
-            for i, w in enumerate(words):
-                if (w,) in buckets:
-                    yield i, buckets[(w,)][(w,)][(w,)]
+        length, n, get, shift, mask = self.length, len(text), number.get, self.shift, self.mask
+        if length == 1:
+            for i, w in enumerate(text):
+                if (b := get(w, -1)) >= 0:
+                    yield from ((i, x) for x in self._confirmed(b & mask, [b]))
             return
+        at = length - 1
         while at < n:
-            block = (words[at - 1], words[at])
-            if step := shift(block, furthest):
+            b = get(text[at], -1)
+            if b < 0:
+                at += length
+                continue
+            a = get(text[at - 1], -1)
+            if a < 0:
+                at += length - 1
+                continue
+            h = (a * _MIX + b) & mask
+            if step := shift[h]:
                 at += step
                 continue
-            first = at - length + 1
-            if (told := buckets[block].get((words[first], words[first + 1]))) and (items := told.get(tuple(words[first : at + 1]))):
-                yield first, items
+            own = [get(w, -1) for w in text[at - length + 1 : at + 1]]
+            if -1 not in own:
+                yield from ((at - length + 1, x) for x in self._confirmed(h, own))
             at += 1
 
+    def _confirmed(self, h: int, own: list[int]) -> Iterator[np.ndarray]:
+        """Items of the window that is those words, if there is one."""
+        lo, hi, size = int(self.head[h]), int(self.head[h + 1]), self.length
+        if lo == hi:
+            return
+        window = lambda k: self.words[(at := self.starts[k]) : at + size].tolist()
+        k = bisect_left(range(hi), own, lo, key=window)
+        if k < hi and window(k) == own:
+            yield self.owners[self.own[k, 0] : self.own[k, 1]]
+
 
 class Benchmark:
     """Search tables for a group of items."""
 
-    def __init__(self, items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.names: list[str | None] = []
-        by_length: dict[int, dict[tuple, list[int]]] = {}
-        for name, text in items:
-            words = words_of(text)
+        self.number: dict[bytes, int] = {}
+        flat: list[np.ndarray] = []
+        places: dict[int, list[tuple[np.ndarray, int]]] = {}
+        at = 0
+        for name, words in items:
             if not words:
                 continue
-            self.names.append(name)
+            number = self.number
+            flat.append(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32))
             size = min(window, len(words))
-            for i in range(len(words) - size + 1):
-                owners = by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), [])
-                if not owners or owners[-1] != len(self.names) - 1:
-                    owners.append(len(self.names) - 1)
-        self.tables = [WuManber(windows, size) for size, windows in sorted(by_length.items())]
+            places.setdefault(size, []).append((np.arange(at, at + len(words) - size + 1), len(self.names)))
+            self.names.append(name)
+            at += len(words)
+        words = np.concatenate([*flat, np.empty(0, np.int32)])
+        self.tables = [WuManber(size, words, np.concatenate([s for s, _ in own]), np.concatenate([np.full(len(s), i, np.int32) for s, i in own])) for size, own in sorted(places.items())]
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges [first, end) that are hit, and the names of the items that hit them."""
         ranges: list[tuple[int, int]] = []
         owners: set[int] = set()
         for table in self.tables:
-            for first, items in table.search(words):
+            for first, items in table.search(words, self.number):
                 ranges.append((first, first + table.length))
-                owners.update(items)
+                owners.update(items.tolist())
         return ranges, {self.names[i] for i in owners if self.names[i] is not None}
 
 
@@ -108,31 +147,41 @@ def merge(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_groups(benchmark: DataFrame, most: int = GROUP_BYTES) -> Iterator[list[tuple[str | None, bytes | None]]]:
-    """Items in groups of at most that many bytes (or one item), read from Spark one partition at a time."""
+def item_groups(benchmark: DataFrame, window: int = WINDOW, most: int = TABLE_BYTES) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """Items (name, words) in groups whose tables take about so many bytes, read from Spark one partition at a time.
+
+    An item that is too large for a group goes on in the next, from its last words, so that no window is lost.
+    """
     rows = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
-    group, size = [], 0
+    group: list[tuple[str | None, list[bytes]]] = []
+    seen: set[bytes] = set()
+    size, longest = 0, max(2 * window, most // (WORD_BYTES + DISTINCT_BYTES))
     for name, text in rows.toLocalIterator():
-        cost = len(text or b"")
-        if group and size + cost > most:
-            yield group
-            group, size = [], 0
-        group.append((name, bytes(text or b"")))
-        size += cost
+        words = words_of(bytes(text or b""))
+        for lo in range(0, max(1, len(words) - window + 1), longest - window + 1):
+            part = words[lo : lo + longest]
+            cost = WORD_BYTES * len(part) + DISTINCT_BYTES * len(fresh := set(part) - seen)
+            if group and size + cost > most:
+                yield group
+                group, size, seen = [], 0, set()
+                cost = WORD_BYTES * len(part) + DISTINCT_BYTES * len(fresh := set(part))
+            group.append((name, part))
+            seen |= fresh
+            size += cost
     yield group
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, most: int = GROUP_BYTES) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, most: int = TABLE_BYTES) -> DataFrame:
     """Struct `row` of the columns to keep (all, if not said), n_words, flat (first, end, first, end ... of hit words) and item ids."""
     at = docs.select(F.struct(*(keep or ["*"])).alias("row"), F.col("text").cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("flat"), F.expr("cast(array() as array<string>)").alias("items"))
-    groups = item_groups(benchmark, most)
+    groups = item_groups(benchmark, window, most)
     group: list | None = next(groups)
     while group is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark(group, window))
         following = next(groups, None)
-        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def start(shared=shared):
-            tables = Benchmark(shared.value, window)
+            tables = shared.value  # a worker process keeps it from task to task
 
             def call(texts, _, flats, found):
                 counts, out, items = [], [], []
