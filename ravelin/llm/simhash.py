@@ -4,20 +4,20 @@ A text's fingerprint holds, per bit, whether over half of its shingle hashes hav
 within `RADIUS` differing bits are linked; a class is a connected component of links.
 
 Pairs are found among distinct fingerprints only. Every pair within the radius agrees on at least
-`BANDS - RADIUS` of `BANDS` bit bands, so fingerprints meet under each choice of that many bands. In a
-bucket the distances to all pivots are computed once per fingerprint; pairs whose largest coordinate
-difference exceeds the radius cannot be links (triangle inequality) and are discarded, survivors are
-verified. A bucket of more than `BUCKET` fingerprints is never paired up: its members meet exactly
-at the points one bit away from them, of which each has at most 65 members, and link to the least member there.
-
-Defined results: null and wordless texts have fingerprint zero and are linked like any other; repeated rows
-stay and share their class; a null doc_id is ignored in the minimum (null if a class has no other); an empty
-table gives an empty result; extra columns are ignored.
+`BANDS - RADIUS` of `BANDS` bit bands, so fingerprints meet under each choice of that many bands. A meeting of more than `BUCKET`
+fingerprints is dealt out once more: the bits that its choice leaves open are cut into `PARTS` bands for each band, all but
+`RADIUS` of which a pair within the radius has in common again. What meets then differs in so few bits (8 for a radius of 2) that its
+size is bounded (by 256). Wherever fingerprints meet, the distances to all pivots are computed once per fingerprint; pairs whose
+largest coordinate difference exceeds the radius cannot be links (triangle inequality) and are discarded, survivors are verified.
+
+Defined results: null and wordless texts have fingerprint zero and are linked like any other; very long texts are shingled whole; a
+bit that exactly half of the hashes have is 0; repeated rows stay and share their class; a null doc_id is ignored in the minimum (null if a
+class has no other); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, pairwise
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,9 @@ from ravelin.llm.arrow import map_columns
 from ravelin.llm.components import connected_components
 from ravelin.runtime import materialize
 
-SHINGLE, SEED, RADIUS, BANDS, BUCKET, PIVOTS = 3, 42, 2, 4, 64, 32
+SHINGLE, SEED, RADIUS, BANDS, BUCKET, PARTS, PIVOTS = 3, 42, 2, 4, 64, 4, 32
+#: Bytes of a table of row numbers that is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def fingerprint(data: bytes | None, width: int = SHINGLE) -> int:
@@ -77,53 +79,65 @@ def links_within(values: np.ndarray, bounds: np.ndarray, radius: int, pivots: np
     return np.concatenate(left), np.concatenate(right)
 
 
-def _band_keys(fp: str, bands: int, radius: int) -> F.Column:
-    """One long per choice of bands: the choice's number mixed with the bits it looks at."""
-    edges = [round(i * 64 / bands) for i in range(bands + 1)]
-    masks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in pairwise(edges)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    picks = combinations(range(bands), bands - radius)
-    return F.array(*(F.struct(F.lit(k).cast("tinyint").alias("choice"), F.col(fp).bitwiseAND(F.lit(signed(sum(masks[b] for b in pick)))).alias("bits")) for k, pick in enumerate(picks)))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def links(values: DataFrame, radius: int = RADIUS, bands: int = BANDS, bucket: int = BUCKET, n_pivots: int = PIVOTS) -> DataFrame:
-    """Edges (a, b), a < b, between distinct fingerprints of column fp, whose components are those of all links."""
-    if radius != 2 and bucket < 1 << 62:
-        raise ValueError("crowded buckets are linked through single-bit neighbours, which is exact for a radius of 2")
-    keys = values.select(F.explode(_band_keys("fp", bands, radius)).alias("key"), "fp").select("key.*", "fp")
-    sizes = keys.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = materialize(keys.join(sizes, ["choice", "bits"]), "met")
-    pivots = pivot_table(n_pivots)
+def _cut(bits: list[int], n: int) -> list[int]:
+    """Masks of n runs of bits, as equal as can be."""
+    edges = [round(i * len(bits) / n) for i in range(n + 1)]
+    return [sum(1 << b for b in bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+
+
+def choices(radius: int, bands: int = BANDS, parts: int = PARTS) -> tuple[list[int], list[list[int]]]:
+    """Masks of the bits that fingerprints have in common where they meet: at first, and (by first choice) once more."""
+    first = [sum(pick) for pick in combinations(_cut([*range(64)], bands), bands - radius)]
+    again = []
+    for mask in first if radius else ():
+        cut = _cut([b for b in range(64) if not mask >> b & 1], parts * radius)
+        again.append([mask | sum(pick) for pick in combinations(cut, len(cut) - radius)])
+    return first, again
+
 
-    def pairs():
+def _paired(met: DataFrame, radius: int, pivots: np.ndarray) -> DataFrame:
+    """Links (a, b), a < b, among the fingerprints of each row's list fps."""
+
+    def start():
         def call(members):
             bounds = np.cumsum([0, *map(len, members)])
             flat = np.fromiter((x for run in members for x in run), dtype=np.int64, count=bounds[-1])
             a, b = links_within(flat.view(np.uint64), bounds, radius, pivots)
             which = np.searchsorted(bounds, a, side="right") - 1
-            ends = np.searchsorted(which, np.arange(len(members) + 1))
-            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in (flat[a], flat[b])]
+            order = np.argsort(which, kind="stable")
+            ends = pa.array(np.searchsorted(which[order], np.arange(len(members) + 1)), pa.int32())
+            x, y = flat[a[order]], flat[b[order]]
+            return [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (np.minimum(x, y), np.maximum(x, y))]
 
-        def ordered(members):
-            x, y = call(members)
-            lo, hi = np.minimum(x.values, y.values), np.maximum(x.values, y.values)
-            return [pa.ListArray.from_arrays(x.offsets, pa.array(lo)), pa.ListArray.from_arrays(x.offsets, pa.array(hi))]
+        return call
 
-        return ordered
+    return map_columns(met.select("fps"), "a array<long>, b array<long>", start).select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
 
-    small = met.filter(F.col("members") <= bucket).groupBy("choice", "bits").agg(F.collect_list("fp").alias("fps")).select("fps")
-    paired = map_columns(small, "a array<long>, b array<long>", pairs).select(F.explode(F.arrays_zip("a", "b")).alias("e")).select("e.a", "e.b")
 
-    crowd = met.filter(F.col("members") > bucket).select("fp").distinct()
-    around = F.expr("concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))")
-    near = crowd.select("fp", F.explode(around).alias("at"))
-    least = near.groupBy("at").agg(F.min("fp").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("at", "least")
-    hubs = near.join(least, "at").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    return paired.unionByName(hubs).distinct()
+def links(values: DataFrame, radius: int = RADIUS, bands: int | None = None, bucket: int = BUCKET, parts: int = PARTS, n_pivots: int = PIVOTS) -> DataFrame:
+    """All pairs (a, b), a < b, of distinct fingerprints of column fp that differ in at most radius bits."""
+    first, again = choices(radius, bands or radius + 2, parts)
+    pivots = pivot_table(n_pivots)
+    masked = lambda masks: F.array(*(F.struct(F.lit(k).cast("smallint").alias("choice"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(masks)))
+    keys = values.select(F.explode(masked(first)).alias("key"), "fp").select("key.*", "fp")
+    sizes = keys.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = materialize(keys.join(sizes, ["choice", "bits"]), "met")
+    gathered = lambda rows, *by: rows.groupBy(*by).agg(F.collect_list("fp").alias("fps"))
+    found = _paired(gathered(met.filter(F.col("members") <= bucket), "choice", "bits"), radius, pivots)
+    if radius:
+        masks = F.array(*(F.array(*(F.lit(_signed(m)) for m in own)) for own in again))
+        dealt = met.filter(F.col("members") > bucket).withColumn("masks", F.element_at(masks, F.col("choice") + 1))
+        dealt = dealt.select("choice", F.posexplode("masks").alias("part", "mask"), "fp").select("choice", "part", F.expr("fp & mask").alias("bits"), "fp")
+        found = found.unionByName(_paired(gathered(dealt, "choice", "part", "bits").filter(F.size("fps") > 1), radius, pivots))
+    return found.distinct()
 
 
 def classes(prints: DataFrame) -> DataFrame:
-    """From materialized (doc_id, fp): (doc_id, fp, root, component_id); root names the class where ids are null."""
+    """Adds root and component_id to materialized rows with doc_id and fp; root names the class where ids are null."""
     values = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "values")
     roots = connected_components(links(values.select("fp")))
     rooted = values.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -139,18 +153,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """All columns of one row of each class: that of the least doc_id; of rows repeating it, one with the least fingerprint."""
-    found = classes(materialize(fingerprints(docs), "prints"))
-    firsts = found.filter("doc_id <=> component_id").groupBy("root", "component_id", "fp").agg(F.count(F.lit(1)).alias("n"))
-    keepers = materialize(firsts.groupBy("root").agg(F.min(F.struct("fp", "component_id", "n")).alias("k")).select("k.*"), "keepers")
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("binary").alias("text"))
-    printed = map_columns(rows, "fp long", lambda: lambda texts: [[fingerprint(t) for t in texts]], keep=["row"])
-    keys = keepers.select(F.col("fp").alias("print"), F.col("component_id").alias("id"))
-    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("fp") == F.col("print"))
-    kept = printed.join(keys.hint("shuffle_hash"), same)
-    if keepers.filter("n > 1").limit(1).count():  # rows that repeat an id and a fingerprint
-        kept = kept.groupBy("id", "fp").agg(F.first("row").alias("row"))
-    return kept.select("row.*")
+    """All columns of one row of each class: that of the least doc_id (null if there is no other); of rows repeating it, the first.
+
+    Rows are numbered and written with their fingerprints; what is shuffled is numbers and fingerprints. Only where the numbers
+    to drop (and those to keep) exceed `BROADCAST_BYTES` are whole rows joined by a shuffle.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    printed = materialize(map_columns(rows, "fp long", lambda: lambda texts: [[fingerprint(t) for t in texts]], keep=["row", "uid", "doc_id"]), "printed")
+    rooted = classes(printed.select("uid", "doc_id", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "uid"))
+    kept = materialize(rooted.groupBy("root").agg(first.alias("k")).select("k.uid"), "kept")
+    n, n_kept = printed.count(), kept.count()  # from the files' footers
+    if 16 * n_kept <= BROADCAST_BYTES:
+        return printed.join(F.broadcast(kept), "uid", "left_semi").select("row.*")
+    if 16 * (n - n_kept) <= BROADCAST_BYTES:
+        dropped = materialize(printed.select("uid").join(kept, "uid", "left_anti"), "dropped")
+        return printed.join(F.broadcast(dropped), "uid", "left_anti").select("row.*")
+    return printed.join(kept, "uid", "left_semi").select("row.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

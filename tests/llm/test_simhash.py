@@ -62,17 +62,41 @@ def test_whole_fixture_against_brute_force(spark, data):
     assert {r.doc_id: r.component_id for r in got} == dict(zip((i for i, _ in want), brute_classes(want)))
 
 
-@pytest.mark.parametrize("bucket", [2, 64])
-def test_links_of_random_and_crowded_prints(spark, bucket):
-    rnd = random.Random(3)
-    prints = {rnd.getrandbits(64) for _ in range(300)}
-    for centre in rnd.sample(sorted(prints), 4):  # crowds within a few bits
-        prints |= {centre ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) ^ (1 << rnd.randrange(64)) * rnd.randrange(2) for _ in range(150)}
-    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    values = spark.createDataFrame([(p,) for p in signed], "fp long")
-    root = {p: p for p in signed} | {r.node: r.root for r in connected_components(simhash.links(values, bucket=bucket)).collect()}
-    rows = [(p, p % (1 << 64)) for p in signed]
-    assert [root[p] for p in signed] == brute_classes(rows)
+def crowded(rnd, n=300, crowds=4, each=150):
+    prints = {rnd.getrandbits(64) for _ in range(n)}
+    for centre in rnd.sample(sorted(prints), crowds):  # crowds within a few bits
+        prints |= {centre ^ 1 << rnd.randrange(64) ^ 1 << rnd.randrange(64) ^ (1 << rnd.randrange(64)) * rnd.randrange(2) for _ in range(each)}
+    return sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+
+
+@pytest.mark.parametrize("bucket,radius", [(2, 2), (64, 2), (1, 1), (3, 3), (64, 3), (8, 0)])
+def test_links_of_random_and_crowded_prints(spark, bucket, radius):
+    signed = crowded(random.Random(3))
+    x = np.array(signed).view(np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= radius
+    want = {(signed[i], signed[j]) for i, j in np.argwhere(near) if i < j}
+    got = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), radius, bucket=bucket).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_a_crowd_of_ten_thousand(spark):
+    rnd = random.Random(8)
+    centre = rnd.getrandbits(62)
+    crowd = {centre}
+    while len(crowd) < 10_000:
+        crowd.add(centre ^ 1 << rnd.randrange(63) ^ 1 << rnd.randrange(63) ^ 1 << rnd.randrange(63) ^ (1 << rnd.randrange(63)) * rnd.randrange(2))
+    values = spark.createDataFrame([(p,) for p in crowd], "fp long")
+    x = np.array(sorted(crowd))
+    want = 0
+    for at in range(0, len(x), 500):
+        want += int((np.bitwise_count(x[at : at + 500, None] ^ x[None, :]) <= 2).sum())
+    assert simhash.links(values).count() == (want - len(x)) // 2
+
+
+def test_bits_in_common_bound_what_meets():
+    first, again = simhash.choices(2)
+    assert len(first) == 6 and {m.bit_count() for m in first} == {32}
+    assert {len(a) for a in again} == {28} and {m.bit_count() for own in again for m in own} == {56}  # 2^8 fingerprints at most
 
 
 def test_pivots_discard_no_link_and_verify():
@@ -84,13 +108,16 @@ def test_pivots_discard_no_link_and_verify():
     assert sorted(zip(a.tolist(), b.tolist())) == sorted((i, i + 10) for i in range(10))
 
 
-def test_null_and_repeated_ids_ties_and_keep_one(spark):
+def test_null_and_repeated_ids_ties_and_keep_one(spark, monkeypatch):
     texts = ["a b c d", "a b c d", "a b c d", "other words here now", None, "", "other words here now"]
     ids = [5, 2, 2, None, None, 7, None]
     docs = edge.documents(spark, texts, extra=True, ids=ids)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == [(False, 2, "a b c d"), (False, 7, ""), (True, 0, "other words here now")]
+    for limit in (20, 0):  # numbers to drop are broadcast; nothing is
+        monkeypatch.setattr(simhash, "BROADCAST_BYTES", limit * 4)
+        assert edge.same(simhash.keep_one(docs), kept)
     classes = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert set(classes.values()) == {2, 7, None}
     assert simhash.keep_one(edge.documents(spark, [])).count() == 0
