@@ -6,24 +6,29 @@ found without comparing words with terms. Terms are whole words or stems, which
 Each occurrence is then judged by a window of words around it: quotation marks, reporting verbs and words about words speak for a quotation, second persons, shouting and other offensive
 terms nearby for abuse. A logistic model over a few sums of these window scores gives the probability.
 
-Fitting: of the labelled rows at most about `TRAIN_ROWS`, chosen by a hash of the id, are used (this bounds the
+Quotations are matched once over the whole text: paired marks by nesting, straight ones two by two within a line; a mark without its partner
+quotes nothing.
+
+Fitting: of the labelled rows about `TRAIN_ROWS`, chosen by a hash of the id, are used (this bounds the
 driver's memory; nothing else is sampled). The lexicon starts from `SEEDS` and takes, greedily, stems that mark toxic training
-texts which it doesn't explain yet. How far a misspelling is to be trusted is learned for each form that the training
+texts which it doesn't explain yet. How far a misspelling is to be trusted is learned for each form that at least `LEAST_FORMS` training
 texts hold. Weights are a maximum a posteriori fit around `PRIOR`, which alone holds without labels.
 
-Defined results: null, empty and wordless texts have no hits and get the score of that; repeated rows are scored
-each; repeated and conflicting labels each count as a training row, null labels are ignored; empty tables give an
-empty result or the prior's weights; a null doc_id is not held out; extra columns are ignored.
+Defined results: null, empty and wordless texts have no hits and get the score of that; very long texts are scored whole; repeated rows
+are scored each; a label that is repeated for an id counts once, conflicting ones count once each, null labels are ignored; of stems that
+explain as many texts the longest comes first, then the last in order; empty tables give an empty result or the prior's weights; a
+null doc_id is not held out; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.llm.arrow import map_columns
@@ -31,8 +36,8 @@ from ravelin.runtime import materialize
 
 #: Offensive terms known beforehand.
 SEEDS = ("asshole", "bastard", "bitch", "clown", "cretin", "disgusting", "dumbass", "idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
-#: Bounds of the fit: labelled rows, learned stems, stems considered, forms of misspellings.
-TRAIN_ROWS, LEARNED_STEMS, CONSIDERED, FORMS = 20_000, 200, 5_000, 5_000
+#: Labelled rows that the fit uses (about); training texts that hold a form of a misspelling at least.
+TRAIN_ROWS, LEAST_FORMS = 20_000, 2
 #: A learned stem's lengths, the least number and share of unexplained toxic texts that hold it, and its least precision.
 STEM_LENGTHS, LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = (4, 8), 5, 0.01, 0.95
 #: Words on each side of an occurrence that its window score looks at; probability from which a text is rejected.
@@ -41,7 +46,9 @@ CONTEXT, THRESHOLD = 8, 0.7
 _WORD = re.compile(r"[^\W_]+")
 _REPORTING = frozenset("said says say called calls call wrote writes quoted quote quotes word words term terms phrase alleged allegedly sagte nannte schrieb zitat wort dit appelé écrit citation mot dijo llamó escribió cita palabra".split())
 _SECOND = frozenset("you your yours yourself u ur du dich dein deine ihr euch tu te ton ta vous votre tú usted vosotros eres".split())
-_PAIRS = (("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"), ('"', '"'))
+#: Closing marks by opening ones; “ also closes what „ has opened.
+_CLOSERS = {"“": "”", "«": "»", "„": "“", "‘": "’"}
+_MARK = re.compile("[“”«»„‘’\"\n]")
 
 FEATURES = ("bias", "abuse", "quoted", "strongest", "density")
 #: Mean and precision of the weights before any label is seen.
@@ -131,20 +138,32 @@ class FuzzyTrie:
         return best and (best[1], best[0])
 
 
-def _quoted_ranges(text: str, lo: int, hi: int) -> bool:
-    """Whether quotation marks open before lo and close after hi, within a stretch of 400 characters each way."""
-    before, after = text[max(0, lo - 400) : lo], text[hi : hi + 400]
-    for start, end in _PAIRS:
-        opened = before.rfind(start)
-        if opened < 0 or after.find(end) < 0:
-            continue
-        if start == end:
-            line = before[before.rfind("\n") + 1 :]
-            if line.count(start) % 2:
-                return True
-        elif end not in before[opened + 1 :]:
-            return True
-    return False
+def quotations(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint ranges between quotation marks, in order, found in one pass."""
+    found: list[tuple[int, int]] = []
+    opened: dict[str, list[int]] = {c: [] for c in _CLOSERS.values()}  # by the mark that will close them
+    straight = -1
+    for m in _MARK.finditer(text):
+        mark, at = m.group(), m.start()
+        if mark == "\n":
+            straight = -1
+        elif mark == '"':
+            if straight >= 0:
+                found.append((straight, at))
+            straight = -1 if straight >= 0 else at
+        elif opened.get(mark):
+            found.append((opened[mark].pop(), at))
+        elif mark in _CLOSERS:
+            opened[_CLOSERS[mark]].append(at)
+    starts: list[int] = []
+    ends: list[int] = []
+    for lo, hi in sorted(found):
+        if ends and lo < ends[-1]:
+            ends[-1] = max(ends[-1], hi)
+        else:
+            starts.append(lo)
+            ends.append(hi)
+    return starts, ends
 
 
 class Scorer:
@@ -171,12 +190,14 @@ class Scorer:
         if len(lowered) != len(text):  # lower-casing may add code points; places refer to the lowered text then
             text = lowered
         words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(lowered)]
+        starts, ends = quotations(text)
         out = []
         for i, (word, lo, hi) in enumerate(words):
             if word not in hits:
                 continue
             near = [w for w, _, _ in words[max(0, i - CONTEXT) : i]] + [w for w, _, _ in words[i + 1 : i + 1 + CONTEXT]]
-            quotes = 1.0 * _quoted_ranges(text, lo, hi) + 0.5 * any(w in _REPORTING for w in near)
+            at = bisect_right(starts, lo) - 1
+            quotes = 1.0 * (at >= 0 and hi <= ends[at]) + 0.5 * any(w in _REPORTING for w in near)
             abuse = 1.0 + 0.5 * any(w in _SECOND for w in near) + 0.25 * sum(w in hits for w in near) + 0.25 * text[lo:hi].isupper() + 0.25 * ("!" in text[hi : hi + 3])
             term, distance = hits[word]
             out.append({"term": term, "word": word, "start": lo, "end": hi, "distance": distance, "quotation": quotes, "abuse": abuse})
@@ -210,11 +231,11 @@ def held_out(column: str) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], dict[str, float], list[float]]:
     """(lexicon, trust in forms, weights), from the labels that aren't held out."""
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).distinct()
     share = min(1.0, rows / max(1, usable.count()))
     chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < math.ceil(share * 1_000_003))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")  # chosen: about `rows` of two numbers
+    sample = materialize(texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")  # chosen: two numbers for about `rows` pairs of id and label
     lexicon = sorted({*SEEDS, *_learn_stems(sample)})
     trust = _learn_trust(sample, lexicon)
     found = map_columns(sample, "features array<double>", _features(lexicon, trust), keep=["toxic"]).toPandas()
@@ -256,7 +277,7 @@ def _stems(wanted):
 def _learn_stems(sample: DataFrame) -> list[str]:
     """Stems that mark toxic texts without seeds: the one in most unexplained texts first, then what it leaves."""
     texts = sample.distinct()
-    plain = materialize(map_columns(texts.withColumn("label", F.col("toxic")), "stems array<string>", _stems(None), keep=["label"]).filter("label = 1 and stems is not null").withColumn("text_no", F.monotonically_increasing_id()), "stems")
+    plain = materialize(map_columns(texts.withColumn("label", F.col("toxic")), "stems array<string>", _stems(None), keep=["label"]).filter("label = 1 and stems is not null").select("stems", F.row_number().over(Window.orderBy(F.xxhash64("stems"))).alias("text_no")), "stems")  # numbers of at most about TRAIN_ROWS texts
     least = max(LEAST_TEXTS, LEAST_SHARE * plain.count())
     each = plain.select("text_no", F.explode("stems").alias("stem"))
     bad = {r.stem: r.bad for r in each.groupBy("stem").agg(F.count(F.lit(1)).alias("bad")).filter(F.col("bad") >= least).toLocalIterator()}  # each in a hundredth of the texts
@@ -264,23 +285,27 @@ def _learn_stems(sample: DataFrame) -> list[str]:
         return []
     others = map_columns(texts.filter("toxic = 0"), "stems array<string>", _stems(sample.sparkSession.sparkContext.broadcast(frozenset(bad)))).select(F.explode("stems").alias("stem"))
     good = {r.stem: r.good for r in others.groupBy("stem").agg(F.count(F.lit(1)).alias("good")).toLocalIterator()}
-    sure = sorted((s for s, n in bad.items() if n >= LEAST_PRECISION * (n + good.get(s, 0))), key=lambda s: (-bad[s], -len(s), s))[:CONSIDERED]
-    where: dict[str, set[int]] = {}
-    for r in each.filter(F.col("stem").isin(sure)).toLocalIterator():
-        where.setdefault(r.stem, set()).add(r.text_no)
+    sure = [s for s, n in bad.items() if n >= LEAST_PRECISION * (n + good.get(s, 0))]
+    # One bit per training text; of stems that mark the same texts only the one that would be chosen leaves Spark.
+    held = each.filter(F.col("stem").isin(sure)).withColumn("at", F.col("text_no")).groupBy("stem", F.expr("bitmap_bucket_number(at)").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("bitmap_bit_position(at)")).alias("bits"))
+    whole = held.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("bucket", "bits"))).alias("texts"))
+    alike = whole.groupBy("texts").agg(F.max(F.struct(F.length("stem").alias("n"), "stem")).alias("best"))
+    where: dict[str, int] = {}
+    for r in alike.toLocalIterator():
+        where[r.best.stem] = sum(int.from_bytes(b.bits, "little") << (int(b.bucket) - 1) * 8 * len(b.bits) for b in r.texts)
     chosen: list[str] = []
-    while where and len(chosen) < LEARNED_STEMS:
-        stem = max(where, key=lambda s: (len(where[s]), len(s), s))
-        if len(where[stem]) < least:
+    while where:  # every round explains a hundredth of the texts at least, so there are at most a hundred
+        stem = max(where, key=lambda s: (where[s].bit_count(), len(s), s))
+        if where[stem].bit_count() < least:
             break
         chosen.append(stem + "*")
         explained = where[stem]
-        where = {s: rest for s, texts in where.items() if (rest := texts - explained)}
+        where = {s: rest for s, own in where.items() if (rest := own & ~explained)}
     return chosen
 
 
 def _learn_trust(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
-    """For the commonest misspellings in texts without an exact term: the share of toxic ones among those texts."""
+    """For misspellings in several texts without an exact term: the share of toxic ones among those texts."""
 
     def start():
         scorer = Scorer(lexicon)
@@ -296,7 +321,7 @@ def _learn_trust(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
 
     forms = map_columns(sample.distinct(), "forms array<string>", start, keep=["toxic"]).select("toxic", F.explode("forms").alias("form"))
     counts = forms.groupBy("form").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("all"))
-    rows = counts.orderBy(F.desc("all"), "form").limit(FORMS).collect()
+    rows = counts.filter(F.col("all") >= LEAST_FORMS).toLocalIterator()
     return {r.form: (r.bad + UNSEEN * UNSEEN_TEXTS) / (r["all"] + UNSEEN_TEXTS) for r in rows}
 
 
