@@ -2,17 +2,18 @@
 
 The parser walks variable-length elements (unknown sizes included), tracks, clusters, simple blocks and block groups with no,
 Xiph, fixed-size or EBML lacing, and cues; each frame of a block becomes a packet with its track, timestamp in
-nanoseconds, byte range and key-frame flag, so that any packet can be read without parsing again.
-
-Defined results: a null blob has no packets; a blob that is no Matroska, or breaks off, raises ValueError when
-parsed alone and becomes a row with `error` in a packet table; a null text is stored like an empty one; equal payloads give equal
-files, whatever row they are in; an empty table gives an empty result; extra columns are ignored.
+nanoseconds, byte range and key-frame flag, so that any packet can be read without parsing again. Frames of a lace follow each other by
+the track's default duration, or by the length of the frame itself where the codec is PCM. Cues have a table of their own, and `seek`
+reads packets from a cued cluster on without touching those before it.
+
+Defined results: a null blob has no packets and no cues; a blob that is no Matroska, breaks off, or has fields of impossible widths raises
+ValueError when parsed alone and becomes a row with `error` in a table; a null text is stored like an empty one; very long texts are stored
+whole; equal payloads give equal files, whatever row they are in, so repeated rows give equal rows; packets of equal time stay in the
+order of the file; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -92,6 +93,7 @@ class Media:
     cues: list[dict] = field(default_factory=list)
     clusters: list[int] = field(default_factory=list)
     scale: int = 1_000_000
+    body: int = 0  # where the segment's body begins, from which cues count
 
 
 def _vint_at(data: bytes, at: int, keep_marker: bool = False) -> tuple[int | None, int]:
@@ -166,8 +168,15 @@ def _laced_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int]
     return [*sizes, last], at
 
 
-def parse(data: bytes) -> Media:
-    """Tracks, packets and cues of a file."""
+def parse(data: bytes, first_cluster: int | None = None) -> Media:
+    """Tracks, packets and cues of a file; with first_cluster (a place in the segment's body, as cues tell it), clusters before it are skipped."""
+    try:
+        return _parse(data, first_cluster)
+    except (TypeError, IndexError, OverflowError, RecursionError) as e:
+        raise ValueError(f"broken file: {e}") from e
+
+
+def _parse(data: bytes, first_cluster: int | None) -> Media:
     media, seen = Media(), False
 
     def block(lo: int, hi: int, start: int, keyed: bool | None) -> None:
@@ -176,12 +185,12 @@ def parse(data: bytes) -> Media:
             raise ValueError(f"block at {lo} breaks off")
         offset, flags = int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
         sizes, at = _laced_sizes(data, at + 3, hi, flags >> 1 & 3)
-        duration = next((t["frame_ns"] for t in media.tracks if t["number"] == track), 0)
+        owner = next((t for t in media.tracks if t["number"] == track), {"frame_ns": 0, "byte_ns": 0.0})
         when = (start + offset) * media.scale
         for i, size in enumerate(sizes):
             media.packets.append({"track": track, "timestamp": when, "start": at, "end": at + size, "keyframe": bool(flags & 0x80) if keyed is None else keyed, "lace": i})
             at += size
-            when += duration
+            when += owner["frame_ns"] or round(size * owner["byte_ns"])
 
     def walk(lo: int, hi: int, start: list[int]) -> None:
         nonlocal seen
@@ -191,10 +200,12 @@ def parse(data: bytes) -> Media:
             elif not seen:
                 raise ValueError("no EBML header")
             elif ident == SEGMENT:
+                media.body = a
                 walk(a, b, [0])
             elif ident == CLUSTER:
                 media.clusters.append(place)
-                walk(a, b, [0])
+                if first_cluster is None or place - media.body >= first_cluster:
+                    walk(a, b, [0])
             elif ident == TIMESTAMP:
                 start[0] = _unsigned(data, a, b)
             elif ident == SIMPLE_BLOCK:
@@ -219,7 +230,7 @@ def parse(data: bytes) -> Media:
                             cue["timestamp"] = _unsigned(data, u, v) * media.scale
                         elif j == CUE_POSITIONS:
                             cue |= {{CUE_TRACK: "track", CUE_CLUSTER: "cluster"}.get(p, "other"): _unsigned(data, q, r) for p, _, q, r in elements(data, u, v)}
-                    media.cues.append(cue)
+                    media.cues.append({"track": cue.get("track"), "timestamp": cue.get("timestamp"), "cluster": cue.get("cluster")})
 
     walk(0, len(data), [0])
     if not seen:
@@ -228,7 +239,7 @@ def parse(data: bytes) -> Media:
 
 
 def _track(data: bytes, lo: int, hi: int) -> dict:
-    track = {"number": 0, "kind": 0, "codec": "", "rate": 0.0, "channels": 1, "bits": 0, "frame_ns": 0}
+    track = {"number": 0, "kind": 0, "codec": "", "rate": 0.0, "channels": 1, "bits": 0, "frame_ns": 0, "byte_ns": 0.0}
     for i, _, a, b in elements(data, lo, hi):
         if i == NUMBER:
             track["number"] = _unsigned(data, a, b)
@@ -241,36 +252,66 @@ def _track(data: bytes, lo: int, hi: int) -> dict:
         elif i == AUDIO:
             for j, _, x, y in elements(data, a, b):
                 if j == RATE:
-                    track["rate"] = float(np.frombuffer(data[x:y], dtype=f">f{y - x}")[0]) if y > x else 0.0
+                    track["rate"] = _float(data, x, y)
                 elif j == CHANNELS:
                     track["channels"] = _unsigned(data, x, y)
                 elif j == DEPTH:
                     track["bits"] = _unsigned(data, x, y)
-    if not track["frame_ns"] and track["codec"].startswith("A_PCM") and track["rate"]:
-        track["frame_ns"] = int(FRAME / track["rate"] * 1e9 / max(1, track["channels"] * track["bits"] // 8))
+    if track["codec"].startswith("A_PCM") and track["rate"] > 0 and track["channels"] * track["bits"] > 0:
+        track["byte_ns"] = 8e9 / (track["rate"] * track["channels"] * track["bits"])
     return track
 
 
-def packet_table(blobs: DataFrame, keep: list[str], blob_col: str = "media") -> DataFrame:
-    """One row per packet of every file, and one with `error` for each file that can't be parsed."""
+def _float(data: bytes, lo: int, hi: int) -> float:
+    if hi - lo not in (0, 4, 8):
+        raise ValueError(f"a float of {hi - lo} bytes at {lo}")
+    found = float(np.frombuffer(data[lo:hi], dtype=f">f{hi - lo}")[0]) if hi > lo else 0.0
+    if not np.isfinite(found):
+        raise ValueError(f"a float at {lo} isn't finite")
+    return found
+
+
+def seek(data: bytes, track: int, timestamp: int) -> list[dict]:
+    """Packets of the track from its last cued cluster at or before that time on; from the first cluster without such a cue."""
+    cues = [c for c in parse(data, len(data)).cues if c["track"] == track and c["cluster"] is not None and (c["timestamp"] or 0) <= timestamp]
+    first = max(cues, key=lambda c: (c["timestamp"] or 0, -c["cluster"]))["cluster"] if cues else 0
+    return [p for p in parse(data, first).packets if p["track"] == track]
+
+
+_PACKET = "struct<track:bigint,timestamp:bigint,start:bigint,end:bigint,keyframe:boolean,lace:int>"
+_CUE = "struct<track:bigint,timestamp:bigint,cluster:bigint>"
+
+
+def _table(blobs: DataFrame, keep: list[str], blob_col: str, kind: str, read) -> DataFrame:
+    """A row for each entry that read() takes from a parsed file, and one with `error` for each file that can't be parsed."""
 
     def start():
         def call(media):
-            packets, errors = [], []
+            found, errors = [], []
             for blob in media:
                 try:
-                    packets.append(parse(blob).packets if blob is not None else [])
+                    found.append(read(parse(blob)) if blob is not None else [])
                     errors.append(None)
                 except ValueError as e:
-                    packets.append([])
+                    found.append([])
                     errors.append(str(e))
-            return packets, errors
+            return found, errors
 
         return call
 
-    ddl = "packets array<struct<track:int,timestamp:bigint,start:bigint,end:bigint,keyframe:boolean,lace:int>>, error string"
-    found = map_columns(blobs.select(*keep, F.col(blob_col).alias("__media")), ddl, start, keep=keep)
-    return found.select(*keep, F.explode(F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast("struct<track:int,timestamp:bigint,start:bigint,end:bigint,keyframe:boolean,lace:int>"))).otherwise(F.col("packets"))).alias("p"), "error").select(*keep, "p.*", "error")
+    rows = map_columns(blobs.select(*keep, F.col(blob_col).alias("__media")), f"entries array<{kind}>, error string", start, keep=keep)
+    entries = F.when(F.col("error").isNotNull(), F.array(F.lit(None).cast(kind))).otherwise(F.col("entries"))
+    return rows.select(*keep, F.explode(entries).alias("p"), "error").select(*keep, "p.*", "error")
+
+
+def packet_table(blobs: DataFrame, keep: list[str], blob_col: str = "media") -> DataFrame:
+    """One row per packet of every file (track, timestamp, start, end, keyframe, lace), or one with `error`."""
+    return _table(blobs, keep, blob_col, _PACKET, lambda media: media.packets)
+
+
+def cue_table(blobs: DataFrame, keep: list[str], blob_col: str = "media") -> DataFrame:
+    """One row per cue of every file (track, timestamp, cluster: its place in the file), or one with `error`."""
+    return _table(blobs, keep, blob_col, _CUE, lambda media: [{**c, "cluster": None if c["cluster"] is None else c["cluster"] + media.body} for c in media.cues])
 
 
 def payload(text: bytes | None) -> bytes:
@@ -280,11 +321,11 @@ def payload(text: bytes | None) -> bytes:
 
 
 def feature(samples: bytes, media: Media) -> str:
-    """Packets, clusters, length in milliseconds, and the sound's level, peak, crossings of its middle and tone (mean absolute step)."""
+    """Packets, clusters, cues, length in milliseconds, and the sound's level, peak, crossings of its middle and tone (mean absolute step)."""
     x = np.frombuffer(samples, dtype=np.uint8).astype(np.int64) - 128
     step = np.abs(np.diff(x))
     crossings = int(np.count_nonzero(np.diff(np.signbit(x))))
-    return f"packets={len(media.packets)};clusters={len(media.clusters)};ms={len(x) * 1000 // HERTZ};rms={float(np.sqrt((x * x).sum() / len(x))):.4f};peak={int(np.abs(x).max())};crossings={crossings};tone={int(step.sum()) / max(1, len(step)):.4f}"
+    return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};ms={len(x) * 1000 // HERTZ};rms={float(np.sqrt((x * x).sum() / len(x))):.4f};peak={int(np.abs(x).max())};crossings={crossings};tone={int(step.sum()) / max(1, len(step)):.4f}"
 
 
 def stored(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -319,8 +360,3 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.expr(f"substring(samples, -{PAD}, {PAD})")
     return found.select("doc_id", "n_bytes", F.length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
 
-
-def brute(text: bytes | None) -> tuple:
-    """The payload's digests without any file, for tests."""
-    p = payload(text)
-    return len(text or b""), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-PAD:])
