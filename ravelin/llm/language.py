@@ -11,9 +11,11 @@ Evidence about a page or document, with l the language:
 Soft counts are posteriors of the text alone, summed by grouped aggregation with partial sums before each shuffle; a row's own part is taken out
 of its host's and domain's counts, so that it doesn't vouch for itself. A document's source takes the place of its host.
 
-Defined results: null and empty texts are decided by what else there is, in the end by the corpus prior; a null url has no host and
-no suffix; a null or unknown declaration is a value of its own; ties go to the first language in order; repeated rows count each;
-without any labelled document there is no language to choose and `lang` is null; extra columns are ignored.
+Every language that training documents declare takes part: the model has `BUCKETS` numbers for each, and plans grow with their number.
+
+Defined results: null and empty texts are decided by what else there is, in the end by the corpus prior; very long texts are read whole;
+a null url has no host and no suffix; a missing or unknown declaration is a value of its own; ties go to the first language in order;
+repeated rows count each; without any labelled document there is no language to choose and `lang` is null; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +35,18 @@ from pyspark.sql.types import _parse_datatype_string
 from ravelin.llm.arrow import map_columns
 from ravelin.runtime import materialize, prepare
 
-#: Hashed trigrams; most languages of a model (those with most training documents).
-BUCKETS, LANGUAGES = 1 << 15, 200
+#: Hashed trigrams.
+BUCKETS = 1 << 15
+#: Rows of a host that meet it in one task; those of larger hosts are dealt to several. Pieces that rows without a host are dealt to.
+HOST_ROWS, NO_HOST = 1 << 18, 256
 #: Pseudo-counts with which a domain smooths its hosts, and the corpus its domains; exponent of the number of trigrams.
 HOST_WEIGHT, DOMAIN_WEIGHT, EXPONENT = 8.0, 20.0, 0.5
 
 _TAG = re.compile(r"<[^>]*>")
 _ROOT = re.compile(r"<html\b[^>]*", re.IGNORECASE)
-_DECLARED = re.compile(r"\s(?:xml:)?lang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+_DECLARED = re.compile(r"\s(?:xml:)?lang\s*=\s*[\"']?\s*([A-Za-z]*)", re.IGNORECASE)
+#: Three-letter codes (ISO 639-2, both forms) of languages that also have two letters.
+_THREE = dict(pair.split(":") for pair in "ara:ar bul:bg cat:ca ces:cs cze:cs cym:cy wel:cy dan:da deu:de ger:de ell:el gre:el eng:en est:et eus:eu baq:eu fas:fa per:fa fin:fi fra:fr fre:fr gle:ga glg:gl heb:he hin:hi hrv:hr hun:hu hye:hy arm:hy ind:id isl:is ice:is ita:it jpn:ja kat:ka geo:ka kor:ko lat:la lav:lv lit:lt mkd:mk mac:mk msa:ms may:ms nld:nl dut:nl nor:no pol:pl por:pt ron:ro rum:ro rus:ru slk:sk slo:sk slv:sl spa:es sqi:sq alb:sq srp:sr swe:sv tha:th tur:tr ukr:uk vie:vi zho:zh chi:zh".split())
 _HOST = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 _SECOND_LEVEL = frozenset(("ac", "co", "com", "edu", "gov", "net", "org"))
 
@@ -81,10 +87,13 @@ def host_parts(url: str | None) -> tuple[str | None, str | None, str | None]:
 
 
 def declared_language(page: str | None, known: set[str]) -> str:
-    """The root element's declaration, `other` if it isn't among the known languages, `none` without one."""
+    """The root element's declaration as one of the known languages, `other` if it isn't one, `none` without one."""
     root = _ROOT.search(page or "")
     m = root and _DECLARED.search(root.group())
-    return "none" if not m else m.group(1).lower()[:2] if m.group(1).lower()[:2] in known else "other"
+    if not m or not m.group(1):
+        return "none"
+    code = m.group(1).lower()
+    return code if code in known else two if (two := _THREE.get(code)) in known else "other"
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -100,7 +109,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log P(trigram | language)), from all documents with a language outside the held-out third."""
     prepare(docs.sparkSession)
     usable = docs.filter(F.col("lang").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    languages = sorted(r.lang for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
+    languages = sorted(r.lang for r in usable.select("lang").distinct().collect())
     schema = _parse_datatype_string("language int, bucket int, n long")
     arrow = to_arrow_schema(schema)
     number = {lang: i for i, lang in enumerate(languages)}
@@ -118,7 +127,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
     counts = np.zeros((len(languages), BUCKETS))
     summed = usable.mapInArrow(run, schema).groupBy("language", "bucket").agg(F.sum("n").alias("n"))
-    for batch in summed.toArrow().to_batches() if languages else ():  # at most LANGUAGES * BUCKETS rows
+    for batch in summed.toArrow().to_batches() if languages else ():  # at most BUCKETS rows for each language
         i, j, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
         counts[i, j] = n
     return languages, np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * BUCKETS)).astype(np.float32)
@@ -170,6 +179,16 @@ def _normalized(logs: F.Column) -> F.Column:
     return F.zip_with(e, F.array_repeat(total, F.size(logs)), lambda x, t: x / t)  # the total is computed once, not in the lambda
 
 
+def _with_hosts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Rows and what is told of their host. The rows of a very large host, and those without one, are dealt to many tasks."""
+    pieces = F.ceil(F.col("rows") / HOST_ROWS).cast("int")
+    large = hosts.filter(F.col("rows") > HOST_ROWS).select("host", pieces.alias("pieces"))  # one host in HOST_ROWS rows at most
+    drawn = F.xxhash64("doc_id", "page_id", "scores")
+    dealt = rows.join(F.broadcast(large), "host", "left").withColumn("piece", F.pmod(drawn, F.when(F.col("host").isNull(), F.lit(NO_HOST)).otherwise(F.coalesce("pieces", F.lit(1)))).cast("int"))
+    each = hosts.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(pieces, F.lit(1)) - 1))).drop("rows")
+    return dealt.drop("pieces").join(each, ["host", "piece"], "left").drop("piece")
+
+
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     """Adds lang, posterior (of that language) and text_lang."""
     n = len(languages)
@@ -190,13 +209,13 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
         return told.select(column, F.zip_with(f"{column}_n", over, lambda a, b: F.log((a + 0.5) / b)).alias(f"{column}_log"))
 
     # Rows meet their host once; what depends on the domain and the suffix is joined to the hosts, of which there are far fewer.
-    hosts = materialize(rows.filter(F.col("host").isNotNull()).groupBy("host", "domain", "suffix").agg(sums().alias("host_n")), "hosts")
+    hosts = materialize(rows.filter(F.col("host").isNotNull()).groupBy("host", "domain", "suffix").agg(sums().alias("host_n"), F.count(F.lit(1)).alias("rows")), "hosts")
     domains = hosts.groupBy("domain").agg(F.array(*(F.sum(F.col("host_n")[i]) for i in range(n))).alias("domain_n"))
     suffixes = likelihood(hosts.select("suffix", F.col("host_n").alias("n")), "suffix")
-    told_hosts = hosts.join(domains, "domain").join(suffixes, "suffix", "left").select("host", "host_n", "domain_n", "suffix_log")
+    told_hosts = hosts.join(domains, "domain").join(suffixes, "suffix", "left").select("host", "rows", "host_n", "domain_n", "suffix_log")
     zero = F.array(*[F.lit(0.0)] * n)
-    declared = likelihood(rows.select("declared", F.col("soft").alias("n")), "declared")  # at most LANGUAGES + 2 rows
-    joined = rows.join(F.broadcast(declared), "declared", "left").join(told_hosts, "host", "left")
+    declared = likelihood(rows.select("declared", F.col("soft").alias("n")), "declared")  # a row for each language and two more
+    joined = _with_hosts(rows.join(F.broadcast(declared), "declared", "left"), told_hosts)
     others = lambda c: F.zip_with(F.coalesce(c, zero), F.when(F.col(c).isNotNull(), F.col("soft")).otherwise(zero), lambda a, b: F.greatest(a - b, F.lit(0.0)))
 
     def smoothed(counts: F.Column, towards: F.Column, weight: float) -> F.Column:
