@@ -1,4 +1,10 @@
-"""Cleaning a corpus in stages, each an operator of ravelin.llm that works on all its predecessor kept."""
+"""Cleaning a corpus in stages, each an operator of ravelin.llm that works on all its predecessor kept.
+
+Odd rows: null and empty texts go through every stage as texts without words, and as near-duplicates of each other one of them stays; very
+long texts are read whole in every stage; of repeated rows one stays, that of the least doc_id, a null doc_id only where a class has no
+other; null labels and benchmark items are ignored; extra columns, whatever their names, are kept up to the last stage, which
+returns doc_id, lang, source, n_tokens and ids; an empty table stays empty.
+"""
 
 from __future__ import annotations
 

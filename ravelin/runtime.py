@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -14,22 +16,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Arrow batches handed to Python hold at most this many rows and bytes, however long the texts are.
 BATCH_ROWS, BATCH_BYTES = 4000, "8m"
-#: Used only where the session names no shared folder, as in tests.
-LOCAL_SCRATCH = "/tmp/checkpoints"
+#: Used only by a local master whose session names no shared folder, as in tests.
+LOCAL_SCRATCH = f"{tempfile.gettempdir()}/checkpoints"
 
 _shipped: set[str] = set()
 _bases: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches, and send this package to the executors once per application."""
+    """Bound Arrow batches, and send this package to the executors once per application.
+
+    The two limits are set for the whole session and stay: DataFrames are lazy, so what an operator returns needs them after it has returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
         package = Path(__file__).resolve().parent
-        archive = os.path.join(tempfile.mkdtemp(prefix="ravelin-"), f"{package.name}.zip")
+        folder = tempfile.mkdtemp(prefix="ravelin-")  # on the driver, which serves it to the executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = os.path.join(folder, f"{package.name}.zip")
         with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
             for path in sorted(package.rglob("*.py")):
                 z.write(path, path.relative_to(package.parent))
@@ -38,8 +45,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local one where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
+    """The shared folder named in spark.checkpoint.dir. Where that is unset, a local master gets a local folder, a cluster RuntimeError."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = LOCAL_SCRATCH
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

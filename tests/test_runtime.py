@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ravelin import runtime
@@ -26,3 +29,11 @@ def test_batches_are_bounded_in_rows_and_bytes(spark):
     assert max(r.bytes for r in wide) < 9 << 20 and sum(r.n for r in wide) == 1500
     narrow = spark.range(9000).coalesce(1).mapInArrow(sizes, "n long, bytes long").collect()
     assert max(r.n for r in narrow) == runtime.BATCH_ROWS
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    context = SimpleNamespace(getConf=dict, master="spark://host:7077", getCheckpointDir=lambda: "x")
+    with pytest.raises(RuntimeError):
+        runtime.scratch(SimpleNamespace(sparkContext=context))
+    context.master = "local[4]"
+    assert runtime.scratch(SimpleNamespace(sparkContext=context)) == runtime.LOCAL_SCRATCH
