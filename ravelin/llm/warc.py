@@ -9,7 +9,7 @@ without their payload. Bundles are rows of a table in the shared folder, which S
 executor leaves nothing half-written; `export` writes them out as files.
 
 Defined results: a null html is an empty payload; a null page_id is less than any other; rows that repeat both the
-largest page_id and its payload are each a response; CR, LF and other control characters in addresses are percent-encoded;
+largest page_id and its payload are each a response; very large payloads are written whole, in a frame of their own; CR, LF and other control characters in addresses are percent-encoded;
 a null url is left out of its record; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -33,8 +33,8 @@ from ravelin.runtime import materialize, prepare
 
 #: Bytes of records in a frame, compressed bytes in a bundle, level of compression, bytes of a table that is broadcast.
 FRAME_BYTES, BUNDLE_BYTES, LEVEL, BROADCAST_BYTES = 256 << 10, 2 << 20, 3, 16 << 20
-#: Payloads of at least so many bytes can be revisits.
-REVISIT_BYTES = 0
+#: Payloads of at least so many bytes can be revisits; pages of one payload that meet in one task.
+REVISIT_BYTES, KEY_ROWS = 0, 1 << 18
 DATE = "2000-01-01T00:00:00Z"
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -150,13 +150,22 @@ def lookup(bundle: bytes, entry: dict) -> dict:
     return found
 
 
+def _dealt(keyed: DataFrame, repeats: DataFrame) -> DataFrame:
+    """The join by key, where the pages of a payload that very many share go to many tasks."""
+    pieces = F.ceil(F.col("n") / KEY_ROWS).cast("int")
+    large = repeats.filter(F.col("n") > KEY_ROWS).select("key", pieces.alias("pieces"))  # one key in KEY_ROWS pages at most
+    rows = keyed.join(F.broadcast(large), "key", "left").withColumn("piece", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    each = repeats.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("n")
+    return rows.join(each, ["key", "piece"], "left").drop("piece", "pieces")
+
+
 def decisions(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """(page_id, url, payload, top, revisit); top: the largest page_id with that payload, where several have it."""
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload")).withColumn("key", F.sha1("payload"))
     groups = keyed.filter(F.length("payload") >= least).groupBy("key").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
-    repeats = materialize(groups.filter("n > 1").select("key", "top"), "repeats")
-    small = repeats.count() * 64 <= BROADCAST_BYTES  # 40 characters, a number and what a row costs
-    joined = keyed.join(F.broadcast(repeats) if small else repeats, "key", "left")
+    repeats = materialize(groups.filter("n > 1"), "repeats")
+    small = repeats.count() * 64 <= BROADCAST_BYTES  # 40 characters, numbers and what a row costs
+    joined = keyed.join(F.broadcast(repeats), "key", "left") if small else _dealt(keyed, repeats)
     grouped = F.col("top").isNotNull()
     return joined.select("page_id", "url", "payload", "top", (grouped & ~F.col("page_id").eqNullSafe(F.col("top"))).alias("revisit"))
 

@@ -185,6 +185,15 @@ def test_archives(spark, tmp_path):
         warc.export(bundles, "hdfs://x/y")
 
 
+def test_shared_payloads_are_dealt(spark, monkeypatch):
+    rows = [(i, f"u{i}", "" if i % 3 else "other") for i in range(60)] + [(99, "v", "x" * 3_000_000)]
+    want = sorted(map(repr, warc.decisions(pages_of(spark, rows)).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(warc, "KEY_ROWS", 7)
+    assert sorted(map(repr, warc.decisions(pages_of(spark, rows)).collect())) == want
+    assert sum(r.payload_bytes for r in warc.read_bundles(warc.store(pages_of(spark, rows))).collect() if r.page_id == 99) == 3_000_000
+
+
 def test_seek_table_and_index():
     writer = warc.BundleWriter()
     for i in range(400):
