@@ -30,8 +30,8 @@ from ravelin.llm.components import connected_components
 from ravelin.runtime import materialize
 
 SHINGLE, SEED, RADIUS, BANDS, BUCKET, PARTS, PIVOTS = 3, 42, 2, 4, 64, 4, 32
-#: Bytes of a table of row numbers that is broadcast; a larger one is joined by a shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Bytes of a table of row numbers that is broadcast, a larger one being joined by a shuffle; what a row of it takes there.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 96
 
 
 def fingerprint(data: bytes | None, width: int = SHINGLE) -> int:
@@ -164,11 +164,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp", "uid"))
     kept = materialize(rooted.groupBy("root").agg(first.alias("k")).select("k.uid"), "kept")
     n, n_kept = printed.count(), kept.count()  # from the files' footers
-    if 16 * n_kept <= BROADCAST_BYTES:
-        return printed.join(F.broadcast(kept), "uid", "left_semi").select("row.*")
-    if 16 * (n - n_kept) <= BROADCAST_BYTES:
+    if ROW_BYTES * (n - n_kept) <= BROADCAST_BYTES:
         dropped = materialize(printed.select("uid").join(kept, "uid", "left_anti"), "dropped")
         return printed.join(F.broadcast(dropped), "uid", "left_anti").select("row.*")
+    if ROW_BYTES * n_kept <= BROADCAST_BYTES:
+        return printed.join(F.broadcast(kept), "uid", "left_semi").select("row.*")
     return printed.join(kept, "uid", "left_semi").select("row.*")
 
 

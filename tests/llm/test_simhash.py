@@ -115,8 +115,8 @@ def test_null_and_repeated_ids_ties_and_keep_one(spark, monkeypatch):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect()) == [(False, 2, "a b c d"), (False, 7, ""), (True, 0, "other words here now")]
-    for limit in (20, 0):  # numbers to drop are broadcast; nothing is
-        monkeypatch.setattr(simhash, "BROADCAST_BYTES", limit * 4)
+    for rows in (4, 3, 2):  # numbers to drop are broadcast, those to keep, nothing
+        monkeypatch.setattr(simhash, "BROADCAST_BYTES", rows * simhash.ROW_BYTES)
         assert edge.same(simhash.keep_one(docs), kept)
     classes = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert set(classes.values()) == {2, 7, None}
