@@ -187,7 +187,7 @@ class VectorIndex:
         self._open()
         q = search.normalize_query(search.prepare_query(query, self.dim))
         cids = search.coarse(self.centroids, q, nprobe)
-        return search.top_k(search.scan(search.where_metadata(self.postings, condition), cids, q), k)
+        return search.top_k(search.scan(search.where_metadata(self.postings, condition), cids, q), min(k, int(self.sizes[cids].sum())))
 
     def search_batch(self, queries: DataFrame, k: int = 10, nprobe: int = 2, exact: bool = False) -> DataFrame:
         """(qid, cid, id, score, rank) for queries (qid, q); exact looks into every cluster."""

@@ -76,7 +76,7 @@ def scan(postings: DataFrame, cids: Sequence[int], q: np.ndarray) -> DataFrame:
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
-    """The k highest scores, ties by the lower id."""
+    """The k highest scores, ties by the lower id. Spark makes room for k rows, so callers hold it within the rows there are."""
     return scored.orderBy(F.desc("score"), "id").limit(max(0, int(k)))
 
 
@@ -367,7 +367,7 @@ def batch_search(postings: DataFrame, queries: DataFrame, centroids: np.ndarray,
 
     Few queries are broadcast to one scan of their clusters, more are joined to it.
     """
-    k, dim = max(0, int(k)), centroids.shape[1]
+    k, dim = max(0, min(int(k), int(sizes.sum()))), centroids.shape[1]
     nprobe = max(1, min(int(nprobe), len(centroids)))
     most = max(1, min(QUERY_BLOCK, QUERY_BYTES // (4 * dim), PROBES // nprobe if nprobe < len(centroids) else QUERY_BLOCK))
     queries = queries.select("qid", "q")

@@ -1,6 +1,6 @@
 """The engine's registered queries over `embeddings`, each with SQL for the same rows.
 
-Searches take as queries the rows whose vec_id is divisible by 100 and look at all rows. The index behind them starts its clusters
+Batch searches take as queries the rows whose vec_id is divisible by 100, single searches the first row; all look at all rows. The index behind them starts its clusters
 from the first `CLUSTERS` ids and makes `PASSES` passes, which SQL can repeat.
 """
 
@@ -16,14 +16,17 @@ from ravelin.functions import vectors as V
 from ravelin.index import VectorIndex
 from ravelin.operators import clustering, metrics, search
 from ravelin.runtime import fresh_path, prepare
+from ravelin.sources import store
 
 CLUSTERS, PASSES, K = 16, 2, 10
 #: Clusters that a single search and a batch look into; the rows are nearly unclustered, so high recall takes most clusters.
 NPROBE, BATCH_NPROBE = 4, 14
 EVERY = 100
+#: How strongly the rows of the clustered table are drawn to their topic, seeds of the seeding queries, clusters of a search over the clustered table.
+PULL, SEED, RESEED, FEW = 4, 123, 7, 2
 UNITS = clustering.UNITS
 
-_indexes: dict[tuple[str, str], VectorIndex] = {}
+_indexes: dict[tuple[str, str, str], VectorIndex] = {}
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,21 +38,39 @@ def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), V.normalize("embedding").alias("v"))
 
 
+def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, embedding): every row drawn to one of the first CLUSTERS rows, so that clusters stand apart."""
+    rows = normalized(spark, sf_dir)
+    first = rows.orderBy("id").limit(CLUSTERS).select((F.row_number().over(Window.orderBy("id")) - 1).alias("topic"), F.col("v").alias("near"))
+    drawn = rows.withColumn("topic", F.pmod("id", F.lit(CLUSTERS)).cast("int")).join(F.broadcast(first), "topic")
+    x = F.zip_with(F.col("near").cast("array<double>"), F.col("v").cast("array<double>"), lambda a, b: (F.lit(float(PULL)) * a + b).cast("float"))
+    return drawn.select(F.col("id").alias("vec_id"), x.alias("embedding"))
+
+
+def _first(rows: DataFrame) -> np.ndarray:
+    found = rows.orderBy("id").limit(CLUSTERS).collect()
+    return np.array([r.v for r in found], dtype=np.float64)
+
+
 def first_centroids(spark: SparkSession, sf_dir: str) -> np.ndarray:
-    rows = normalized(spark, sf_dir).orderBy("id").limit(CLUSTERS).collect()
-    return np.array([r.v for r in rows], dtype=np.float64)
+    return _first(normalized(spark, sf_dir))
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
-    """The index that the searches share, built once per application and data."""
-    key = spark.sparkContext.applicationId, sf_dir
+def _built(spark: SparkSession, sf_dir: str, name: str, rows: DataFrame) -> VectorIndex:
+    """An index over (vec_id, embedding, metadata), built once per application, data and name."""
+    key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _indexes:
-        rows = embeddings(spark, sf_dir).withColumn("metadata", F.to_json(F.struct("label")))
-        path = fresh_path(spark, "index")
-        _indexes[key] = VectorIndex.build(spark, path, rows, id_col="vec_id", metadata_col="metadata", n_clusters=CLUSTERS, kmeans_iters=PASSES, centroids=first_centroids(spark, sf_dir))
+        start = _first(rows.select(F.col("vec_id").alias("id"), V.normalize("embedding").alias("v")))
+        metadata = "metadata" if "metadata" in rows.columns else None
+        _indexes[key] = VectorIndex.build(spark, fresh_path(spark, "index"), rows, id_col="vec_id", metadata_col=metadata, n_clusters=CLUSTERS, kmeans_iters=PASSES, centroids=start)
     return _indexes[key]
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """The index that the searches share."""
+    return _built(spark, sf_dir, "main", embeddings(spark, sf_dir).withColumn("metadata", F.to_json(F.struct("label"))))
+
+
 def first_query(spark: SparkSession, sf_dir: str) -> list[float]:
     return embeddings(spark, sf_dir).orderBy("vec_id").select("embedding").first().embedding
 
@@ -195,16 +216,100 @@ def index_manifest(spark, sf_dir):
     return spark.createDataFrame([(told["count"], told["dim"], told["n_clusters"], told["metric"], told["normalized"])], "count long, dim int, n_clusters int, metric string, normalized boolean")
 
 
-NAMES = (vector_norm, normalize, finite_vectors, dot_scores, cosine_topk, raw_dot_topk, seed_rows, cluster_assign, cluster_sizes, lloyd_step, cluster_centroids, posting_offsets, postings, coarse_probe, posting_scan, ivf_search, ivf_search_all_clusters, ivf_search_filter, ivf_search_where, metadata_lookup, dsl_default_program, dsl_raw_scores, batch_topk, batch_ivf, recall_at_k, scanned_fraction, index_manifest)
+def seed_by_hash(spark, sf_dir):
+    """The rows that k-means starts from when it isn't told."""
+    return _centroid_rows(spark, clustering.seed_centroids(normalized(spark, sf_dir), CLUSTERS, SEED))
+
+
+def empty_cluster_reseed(spark, sf_dir):
+    """A pass from centroids of which the second half repeats the first: its clusters stay empty and restart from seeded rows."""
+    half = first_centroids(spark, sf_dir)[: CLUSTERS // 2]
+    return _centroid_rows(spark, clustering.lloyd_step(normalized(spark, sf_dir), np.concatenate([half, half]), RESEED)[0])
+
+
+def posting_order(spark, sf_dir):
+    """Rows in the order in which a posting holds them: that of the input."""
+    rows = index_of(spark, sf_dir).postings.select("cid", "id", F.monotonically_increasing_id().alias("at"))
+    return rows.select("cid", "id", F.row_number().over(Window.partitionBy("cid").orderBy("at")).alias("place"))
+
+
+LIMITS = ((0, 3), (-1, 3), (3, 0), (3, -5), (3, 99), (1_000_000_000, 1), (1_000_000_000, 99))
+
+
+def search_clamps(spark, sf_dir):
+    """How many results there are for limits out of range."""
+    index, q = index_of(spark, sf_dir), first_query(spark, sf_dir)
+    return spark.createDataFrame([(k, nprobe, index.search_df(q, k, nprobe).count()) for k, nprobe in LIMITS], "k long, nprobe int, n long")
+
+
+FILTERS = {"even:True": "id % 2 = 0", "even:true": "false", "none:None": "true", "missing:None": "true", "tag:a:0": "label = 0", "nested:{'x': 0}": "label = 0", "label:0": "label = 0"}
+
+
+def filter_values(spark, sf_dir):
+    """FILTER on booleans, null, a missing key, a value that holds a colon, and a nested one."""
+    told = F.struct("label", (F.col("vec_id") % 2 == 0).alias("even"), F.lit(None).cast("string").alias("none"), F.concat(F.lit("a:"), F.col("label").cast("string")).alias("tag"), F.struct(F.col("label").alias("x")).alias("nested"))
+    index = _built(spark, sf_dir, "told", embeddings(spark, sf_dir).withColumn("metadata", F.to_json(told, {"ignoreNullFields": "false"})))
+    q, out = first_query(spark, sf_dir), None
+    for what in FILTERS:
+        found = index.search_df(q, program=FILTER_PROGRAM.replace("label:0", f'"{what}"')).select(F.lit(what).alias("filter"), "id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def clustered_search(spark, sf_dir):
+    """A batch that looks into few of the clusters of a table whose clusters stand apart."""
+    rows = clustered(spark, sf_dir)
+    queries = rows.filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return _built(spark, sf_dir, "clustered", rows).search_batch(queries, K, FEW).select("qid", "id", "score", "rank")
+
+
+def rejections(spark, sf_dir):
+    """What a build must refuse, made from the table's own rows; nothing may be left behind."""
+    rows = embeddings(spark, sf_dir).select("vec_id", "embedding")
+    cases = {
+        "repeated ids": rows.unionByName(rows),
+        "null id": rows.withColumn("vec_id", F.when(F.col("vec_id") != F.lit(0), F.col("vec_id"))),
+        "floating ids": rows.withColumn("vec_id", F.col("vec_id").cast("double")),
+        "ragged": rows.withColumn("embedding", F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 2)).otherwise(F.col("embedding"))),
+        "not a number": rows.withColumn("embedding", F.transform("embedding", lambda x: F.lit(float("nan")).cast("float"))),
+        "null vectors": rows.withColumn("embedding", F.lit(None).cast("array<float>")),
+        "metadata no object": rows.withColumn("metadata", F.lit("[1]")),
+        "metadata not JSON": rows.withColumn("metadata", F.lit('{"a": NaN}')),
+        "no rows": rows.filter("false"),
+        "fine": rows,
+    }
+    out = []
+    for name, df in cases.items():
+        path, refused = fresh_path(spark, "refused"), False
+        try:
+            VectorIndex.build(spark, path, df, id_col="vec_id", metadata_col="metadata" if "metadata" in df.columns else None, n_clusters=2, kmeans_iters=1)
+        except (TypeError, ValueError):
+            refused = store.Files(spark, path).free(path)
+        out.append((name, refused))
+    return spark.createDataFrame(out, "name string, refused boolean")
+
+
+NAMES = (vector_norm, normalize, finite_vectors, dot_scores, cosine_topk, raw_dot_topk, seed_rows, cluster_assign, cluster_sizes, lloyd_step, cluster_centroids, posting_offsets, postings, coarse_probe, posting_scan, ivf_search, ivf_search_all_clusters, ivf_search_filter, ivf_search_where, metadata_lookup, dsl_default_program, dsl_raw_scores, batch_topk, batch_ivf, recall_at_k, scanned_fraction, index_manifest, seed_by_hash, empty_cluster_reseed, posting_order, search_clamps, filter_values, clustered_search, rejections)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NAMES}
 
 _UNIT = "list_transform({v}, lambda y: y / CASE WHEN list_dot_product({v}, {v}) = 0 THEN 1 ELSE sqrt(list_dot_product({v}, {v})) END)"
 
 
-def _with() -> str:
+_ROWS = ["e AS MATERIALIZED (SELECT vec_id AS id, label, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x FROM embeddings)"]
+
+#: The clustered table in the place of the plain one.
+_CLUSTERED = [
+    "e0 AS (SELECT vec_id AS id, label, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x FROM embeddings)",
+    f"v0 AS MATERIALIZED (SELECT id, label, list_transform({_UNIT.format(v='x')}, lambda y: CAST(CAST(y AS FLOAT) AS DOUBLE)) AS v FROM e0)",
+    f"t0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) - 1 AS topic, v AS near FROM (SELECT * FROM v0 ORDER BY id LIMIT {CLUSTERS}))",
+    f"e AS MATERIALIZED (SELECT id, label, list_transform(list_zip(near, v), lambda y: CAST(CAST({PULL}.0::DOUBLE * y[1] + y[2] AS FLOAT) AS DOUBLE)) AS x FROM v0 JOIN t0 ON topic = id % {CLUSTERS})",
+]
+
+
+def _with(rows: list[str] = _ROWS) -> str:
     parts = [
-        "e AS MATERIALIZED (SELECT vec_id AS id, label, list_transform(embedding, lambda y: CAST(y AS DOUBLE)) AS x FROM embeddings)",
+        *rows,
         f"v AS MATERIALIZED (SELECT id, label, x, list_transform({_UNIT.format(v='x')}, lambda y: CAST(CAST(y AS FLOAT) AS DOUBLE)) AS v FROM e)",
         f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS cid, id, v AS c FROM (SELECT * FROM v ORDER BY id LIMIT {CLUSTERS}))",
     ]
@@ -263,4 +368,22 @@ _BODIES = {
     "index_manifest": f"SELECT CAST(count(*) AS BIGINT) AS count, CAST(max(len(x)) AS INTEGER) AS dim, CAST(least({CLUSTERS}, count(*)) AS INTEGER) AS n_clusters, 'cosine' AS metric, true AS normalized FROM e",
 }
 
-ORACLE_SQL = {name: _with() + body for name, body in _BODIES.items()}
+_seeded = lambda seed, n: f"(SELECT CAST(row_number() OVER (ORDER BY md5('{seed}:' || id), id) - 1 AS INTEGER) AS cid, v AS c FROM v ORDER BY cid LIMIT {n})"
+_BODIES |= {
+    "seed_by_hash": f"SELECT cid, CAST(pos - 1 AS INTEGER) AS pos, c[pos] AS value FROM {_seeded(SEED, CLUSTERS)}, unnest(range(1, len(c) + 1)) AS t(pos)",
+    "empty_cluster_reseed": f"""SELECT cid, CAST(pos - 1 AS INTEGER) AS pos, c[pos] AS value FROM (
+        SELECT cid, list_transform(m, lambda y: CAST(CAST(y / CASE WHEN norm = 0 THEN 1 ELSE norm END AS FLOAT) AS DOUBLE)) AS c FROM (
+          SELECT cid, m, sqrt(list_reduce(list_transform(m, lambda y: y * y), lambda s, y: s + y)) AS norm FROM (
+            SELECT cid, list(m ORDER BY i) AS m FROM (
+              SELECT cid, i, CAST(CAST(sum(CAST(floor(v[i] * {UNITS} + 0.5) AS BIGINT)) AS BIGINT) AS DOUBLE) / count(*) / {UNITS}.0 AS m FROM (
+                SELECT v.id, any_value(v.v) AS v, arg_max(cid, row(list_dot_product(v.v, c), -cid)) AS cid FROM v CROSS JOIN (SELECT * FROM c0 WHERE cid < {CLUSTERS // 2}) GROUP BY v.id), unnest(range(1, len(v) + 1)) AS t(i)
+              GROUP BY cid, i) GROUP BY cid))
+        UNION ALL SELECT cid + {CLUSTERS // 2}, c FROM {_seeded(RESEED, CLUSTERS // 2)}), unnest(range(1, len(c) + 1)) AS t(pos)""",
+    "posting_order": f"SELECT cid, id, CAST(row_number() OVER (PARTITION BY cid ORDER BY id) AS INTEGER) AS place FROM a{PASSES}",
+    "search_clamps": f"SELECT k, nprobe, CAST(least(greatest(k, 0), count(f.id)) AS BIGINT) AS n FROM (VALUES {', '.join(f'({k}::BIGINT, {p}::INTEGER)' for k, p in LIMITS)}) AS t(k, nprobe) LEFT JOIN f ON f.probe <= greatest(1, least(nprobe, {CLUSTERS})) GROUP BY k, nprobe",
+    "filter_values": "SELECT filter, id FROM (SELECT * FROM f ORDER BY score DESC, id LIMIT 50), (VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in FILTERS) + ") AS t(filter) WHERE CASE filter " + " ".join("WHEN '" + x.replace("'", "''") + f"' THEN {c}" for x, c in FILTERS.items()) + " END",
+    "clustered_search": f"SELECT qid, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM b JOIN (SELECT qid, cid FROM p WHERE rank <= {FEW}) USING (qid, cid)) WHERE rank <= {K}",
+    "rejections": "SELECT name, name <> 'fine' AS refused FROM (VALUES ('repeated ids'), ('null id'), ('floating ids'), ('ragged'), ('not a number'), ('null vectors'), ('metadata no object'), ('metadata not JSON'), ('no rows'), ('fine')) AS t(name)",
+}
+
+ORACLE_SQL = {name: _with(_CLUSTERED if name == "clustered_search" else _ROWS) + body for name, body in _BODIES.items()}

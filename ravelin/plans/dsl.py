@@ -92,7 +92,7 @@ class Machine:
 
     def topk(self, dst: str, scores: str, k: str) -> None:
         found: _Scored = self.registers[scores]
-        winners = search.top_k(found.frame, int(self.value(k)))
+        winners = search.top_k(found.frame, min(int(self.value(k)), int(self.index.sizes[found.cids].sum())))
         self.registers[dst] = search.with_metadata(winners, self.index.postings, found.cids) if self.index.has_metadata else winners
 
     def filter(self, dst: str, source: str, relation: str, expression: str) -> None:
