@@ -6,8 +6,9 @@ and card- or IP-like digits that fail their test). Labelers vote on every candid
 around it, and what it sticks to. Votes are counted over the whole corpus by pattern (there are at most
 3^5 for each kind), and expectation-maximisation estimates the labelers' reliabilities from those counts. The soft labels that
 follow train a logistic span classifier, whose inputs are the kind, the votes and what the labelers don't see: length, shares of
-digits and capitals, separators, and the words before and after. It is fitted on about `TRAIN_SPANS` candidates, chosen by a hash of
-the candidate and its text's row. Base spans always stay; candidates stay where the classifier says so. A candidate never overlaps a base span
+digits and capitals, separators, and the words before and after. It is fitted on at most `TRAIN_SPANS`
+distinct sets of inputs, each counted once however many candidates have it, since the soft label depends on kind and votes alone; they come from
+candidates chosen by a hash of kind, place and inputs. Base spans always stay; candidates stay where the classifier says so. A candidate never overlaps a base span
 or another candidate; base spans of different kinds may overlap each other.
 
 Spans are (kind, start, end) in code points, the end exclusive. Defined results: null, empty and very long texts are scanned
@@ -36,7 +37,7 @@ KINDS = (*BASE, "spelled_email", "local_phone", "national_id", "iban", "name", "
 LABELERS = ("format", "gazetteer", "checksum", "context", "neighbours")
 #: Characters before and after a candidate that the context labeler reads; probability from which a candidate is a span.
 WINDOW, KEEP = 40, 0.5
-#: Candidates that the classifier is fitted on at most (about); buckets of neighbouring words.
+#: Distinct sets of inputs that the classifier is fitted on at most; buckets of neighbouring words.
 TRAIN_SPANS, WORD_BUCKETS = 20_000, 64
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -278,13 +279,13 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def classifier(found: DataFrame, spans: int = TRAIN_SPANS) -> np.ndarray:
-    """Bias and weights, from the vote patterns of the whole corpus (a bounded number of rows) and about so many candidates."""
+    """Bias and weights, from the vote patterns of the whole corpus (a bounded number of rows) and at most so many distinct sets of inputs."""
     each = found.select(F.explode("extra").alias("s")).select("s.*")
     patterns = {(r.kind, r.votes): r.n for r in each.groupBy("kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not patterns:
         return train([])
     _, _, soft = em(patterns)
-    # Every pattern keeps at least a hundredth of the sample, so that rare ones are seen too; what a pattern lacks or has too much is weighed by its count.
+    # About a hundredth of the sample, if there are so many, comes from every pattern, so that rare ones are seen too.
     share = min(1.0, spans / sum(patterns.values()))
     chance = F.create_map(*(F.lit(x) for (k, v), n in sorted(patterns.items()) for x in (k + v, min(1.0, max(share, spans / 100 / n)))))
     drawn = F.pmod(F.xxhash64("kind", "start", "end", "inputs"), F.lit(1 << 20)) / float(1 << 20)
