@@ -5,8 +5,8 @@ side by side. An inverted index from merge rank (that is, from token pair) to wo
 to all words at once in rank order, and each looks up and indexes only the two neighbours that it touched. Where a word holds
 a pair several times, its first place merges and the others go back to the index, so that every word gets the merges it
 would get alone, in that order. A word of over `LONG` bytes has an index of its own, a heap of (rank, place), so that its time is
-linear but for a logarithm. Texts wait as numbers until their words are encoded: `PENDING` new words or `NUMBERS` numbers at most,
-and a task keeps at most about `WORDS` words.
+linear but for a logarithm. Texts wait as numbers until their words are encoded: `PENDING` new words, `PENDING_CHARS` of their
+characters or `NUMBERS` numbers at most, and a batch beyond. A task keeps at most about `WORDS` words and `WORD_CHARS` of their characters.
 
 Defined results: null and empty texts have no tokens and decode to nothing; lone surrogates can't occur in Spark strings; very long
 texts and words are encoded whole; repeated rows are encoded each; ties (equal pairs in a word) merge from the left; an empty table
@@ -36,8 +36,8 @@ from ravelin.llm.arrow import give_back, map_columns
 from ravelin.runtime import prepare
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Words that a task keeps, words and numbers that wait for a replay, bytes from which a word is replayed alone.
-WORDS, PENDING, NUMBERS, LONG = 600_000, 200_000, 8_000_000, 256
+#: Words and their characters that a task keeps, the same and numbers that wait for a replay, bytes from which a word is replayed alone.
+WORDS, WORD_CHARS, PENDING, PENDING_CHARS, NUMBERS, LONG = 600_000, 32 << 20, 200_000, 4 << 20, 8_000_000, 256
 
 #: Up to U+024F letters, numbers and white space can be listed, so that `re` splits as the general pattern does, and sooner.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \u0085 "
@@ -66,10 +66,15 @@ def mergeable_pairs(path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Numbers(dict):
-    """Words by number, in the order they were met."""
+    """Words by number, in the order they were met, and how many characters they have."""
+
+    def __init__(self):
+        super().__init__()
+        self.chars = 0
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
+        self.chars += len(word)
         return n
 
 
@@ -82,6 +87,7 @@ class MergeReplay:
         self.general = regex.compile(pattern)
         self.number = _Numbers()
         self.coded: list[bytes] = []  # ids of the words, as far as they have been replayed
+        self.coded_chars = 0
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.pair_keys, self.pair_values = mergeable_pairs(path)
         self.rank_of: dict[int, int] | None = None  # the pairs again, for single look-ups
@@ -98,13 +104,15 @@ class MergeReplay:
         return array("I", map(self.number.__getitem__, self.split(text))) if text else array("I")
 
     @property
-    def pending(self) -> int:
-        return len(self.number) - len(self.coded)
+    def due(self) -> bool:
+        """Whether enough words or characters wait for a replay."""
+        return len(self.number) - len(self.coded) > PENDING or self.number.chars - self.coded_chars > PENDING_CHARS
 
     def settle(self) -> None:
         """Replay the words that wait."""
-        if self.pending:
+        if len(self.number) > len(self.coded):
             self.coded += self._replay([w.encode() for w in islice(self.number, len(self.coded), None)])
+            self.coded_chars = self.number.chars
 
     def ids(self, numbers: array) -> bytes:
         """Ids of a text's settled words, as packed unsigned 32-bit integers."""
@@ -112,8 +120,8 @@ class MergeReplay:
 
     def forget(self) -> None:
         """Empty the table of words if it has grown beyond its bound. Numbers given before mean nothing then."""
-        if len(self.number) > WORDS:
-            self.number, self.coded = _Numbers(), []
+        if len(self.number) > WORDS or self.number.chars > WORD_CHARS:
+            self.number, self.coded, self.coded_chars = _Numbers(), [], 0
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         numbers = [self.numbers(t) for t in texts]
@@ -285,7 +293,7 @@ def encode(docs: DataFrame, keep: list[str], path: str | None = None, decoded: b
             numbers = [coder.numbers(t) for t in batch.column(len(keep)).to_pylist()]
             held.append((batch.columns[: len(keep)], numbers))
             waiting += sum(map(len, numbers))
-            if coder.pending > PENDING or waiting > NUMBERS:
+            if coder.due or waiting > NUMBERS:
                 yield from settled()
                 waiting = 0
         yield from settled()

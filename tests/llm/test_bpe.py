@@ -43,6 +43,27 @@ def test_small_word_table(truth, monkeypatch):
         assert ids_of(coder.encode([text])[0]) == truth.encode_ordinary(text)
 
 
+def test_words_are_bounded_by_their_characters(truth, monkeypatch):
+    monkeypatch.setattr(bpe, "PENDING_CHARS", 1000)
+    monkeypatch.setattr(bpe, "WORD_CHARS", 3000)
+    coder = bpe.MergeReplay(PATH)
+    most = 0
+    for i in range(40):
+        word = f"q{chr(97 + i % 26)}{chr(97 + i // 26)}" * 100  # 300 characters each
+        numbers = coder.numbers(word)
+        due = coder.due
+        coder.settle()
+        assert not coder.due and ids_of(coder.ids(numbers)) == truth.encode_ordinary(word)
+        assert not due
+        most = max(most, coder.number.chars)
+        coder.forget()
+    assert most <= 3300
+    for i in range(4):
+        assert not coder.due
+        coder.numbers(f"z{chr(97 + i)}" * 150)
+    assert coder.due
+
+
 def test_long_words(truth, monkeypatch):
     rnd = random.Random(3)
     coder = bpe.MergeReplay(PATH)
@@ -117,3 +138,13 @@ def test_counts_query(spark, data, truth):
     rows = counts.op7(spark, data).collect()
     sizes = [len(truth.encode_ordinary(r.text)) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     assert {r.length: (r.n_docs, r.truncated_total) for r in rows} == {s: (sizes.count(s), sum(min(x, s) for x in sizes)) for s in set(sizes)}
+
+
+def test_many_long_words_in_a_task(spark, truth):
+    """More characters than may wait at once, in few words."""
+    texts = [f"{chr(97 + i)}{chr(98 + i)}c" * 100_000 for i in range(20)] + ["one two"] * 3
+    rows = {r.doc_id: r for r in bpe.digests(edge.documents(spark, texts).coalesce(1)).collect()}
+    for i in (0, 19, 22):
+        ids = truth.encode_ordinary(texts[i])
+        assert rows[i].n_tokens == len(ids) and rows[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest() for i, r in rows.items())
