@@ -26,6 +26,7 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterable
+from itertools import compress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -44,6 +45,8 @@ STEM_LENGTHS, LEAST_TEXTS, LEAST_SHARE, LEAST_PRECISION = (4, 8), 5, 0.01, 0.95
 CONTEXT, THRESHOLD = 8, 0.7
 
 _WORD = re.compile(r"[^\W_]+")
+#: A space for what is no part of a word, by Latin-1 character.
+_LATIN = bytes(c if _WORD.match(chr(c)) else 32 for c in range(256))
 _REPORTING = frozenset("said says say called calls call wrote writes quoted quote quotes word words term terms phrase alleged allegedly sagte nannte schrieb zitat wort dit appelé écrit citation mot dijo llamó escribió cita palabra".split())
 _SECOND = frozenset("you your yours yourself u ur du dich dein deine ihr euch tu te ton ta vous votre tú usted vosotros eres".split())
 #: Closing marks by opening ones; “ also closes what „ has opened.
@@ -58,6 +61,14 @@ PRIOR_PRECISION = np.array([0.05, 0.05, 2.0, 0.05, 0.5])
 UNSEEN, UNSEEN_TEXTS = 0.5, 1.0
 
 
+def words_in(lowered: str) -> list[str]:
+    """All words in order, where the text allows it without the pattern."""
+    try:
+        return lowered.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return _WORD.findall(lowered)
+
+
 def edits(term: str) -> int:
     """Edits tolerated in a term; a stem is written with a * at its end."""
     if term.endswith("*"):
@@ -172,44 +183,52 @@ class Scorer:
     def __init__(self, terms: Iterable[str], trust: dict[str, float] | None = None):
         self.trie = FuzzyTrie(terms)
         self.trust = trust or {}
-        self.known: dict[str, tuple[str, int] | None] = {}
-
-    def lookup(self, word: str) -> tuple[str, int] | None:
-        if word not in self.known:
-            if len(self.known) >= 200_000:
-                self.known.clear()
-            self.known[word] = self.trie.match(word)
-        return self.known[word]
+        self.seen: set[str] = set()
+        self.known: dict[str, tuple[str, int]] = {}  # what those of them match that match anything
+
+    def matches(self, words: set[str]) -> dict[str, tuple[str, int]]:
+        """Term and distance of each offensive word among these."""
+        if len(self.seen) >= 200_000:
+            self.seen.clear()
+            self.known.clear()
+        fresh = words - self.seen
+        self.known.update((w, m) for w in fresh if (m := self.trie.match(w)))
+        self.seen |= fresh
+        return {w: self.known[w] for w in self.known.keys() & words}
 
     def occurrences(self, text: str | None) -> list[dict]:
         """Every offensive word with its term, distance, place and window scores."""
+        return self._judged(text)[0]
+
+    def _judged(self, text: str | None) -> tuple[list[dict], int]:
+        """The occurrences, and how many words the text has."""
         lowered = (text or "").lower()
-        hits = {w: m for w in set(_WORD.findall(lowered)) if (m := self.lookup(w))}
+        words = words_in(lowered)
+        hits = self.matches(set(words))
         if not hits:
-            return []
+            return [], len(words)
         if len(lowered) != len(text):  # lower-casing may add code points; places refer to the lowered text then
             text = lowered
-        words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(lowered)]
+        hit = [w in hits for w in words]
         starts, ends = quotations(text)
         out = []
-        for i, (word, lo, hi) in enumerate(words):
-            if word not in hits:
-                continue
-            near = [w for w, _, _ in words[max(0, i - CONTEXT) : i]] + [w for w, _, _ in words[i + 1 : i + 1 + CONTEXT]]
+        for i, m in compress(enumerate(_WORD.finditer(lowered)), hit):
+            word, (lo, hi) = words[i], m.span()
+            near = words[max(0, i - CONTEXT) : i] + words[i + 1 : i + 1 + CONTEXT]
             at = bisect_right(starts, lo) - 1
             quotes = 1.0 * (at >= 0 and hi <= ends[at]) + 0.5 * any(w in _REPORTING for w in near)
             abuse = 1.0 + 0.5 * any(w in _SECOND for w in near) + 0.25 * sum(w in hits for w in near) + 0.25 * text[lo:hi].isupper() + 0.25 * ("!" in text[hi : hi + 3])
             term, distance = hits[word]
             out.append({"term": term, "word": word, "start": lo, "end": hi, "distance": distance, "quotation": quotes, "abuse": abuse})
-        return out
+        return out, len(words)
 
     def features(self, text: str | None) -> list[float]:
-        own = self.occurrences(text)
+        own, n_words = self._judged(text)
         direct = [x for x in own if x["quotation"] < 1]
         net = [max(0.0, x["abuse"] - x["quotation"]) * (self.trust.get(x["word"], UNSEEN) if x["distance"] else 1) for x in direct]
         if not net:
             return [1.0, 0.0, math.log1p(len(own)), 0.0, 0.0]
-        per_word = 100 * sum(net) / max(1, len(_WORD.findall(text)))
+        per_word = 100 * sum(net) / max(1, n_words)
         return [1.0, math.log1p(sum(net)), math.log1p(len(own) - len(direct)), min(2.0, max(net)), math.log1p(per_word)]
 
 
@@ -261,8 +280,8 @@ def _stems(wanted):
         def call(texts, toxic):
             out = []
             for text, label in zip(texts, toxic):
-                words = set(_WORD.findall((text or "").lower()))
-                if wanted is None and (not label or any((m := scorer.lookup(w)) and not m[1] for w in words)):
+                words = set(words_in((text or "").lower()))
+                if wanted is None and (not label or any(not distance for _, distance in scorer.matches(words).values())):
                     out.append(None)
                     continue
                 stems = {w[:n] for w in words if w.isalpha() for n in range(shortest, min(longest, len(w)) + 1)}
@@ -313,7 +332,7 @@ def _learn_trust(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
         def call(texts):
             out = []
             for text in texts:
-                hits = {w: m for w in set(_WORD.findall((text or "").lower())) if (m := scorer.lookup(w))}
+                hits = scorer.matches(set(words_in((text or "").lower())))
                 out.append([] if any(not m[1] for m in hits.values()) else sorted(hits))
             return [out]
 
