@@ -42,7 +42,8 @@ TRAIN_SPANS, WORD_BUCKETS = 20_000, 64
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")  # a match can only start where a run of digits does
+# Patterns that look behind their first character do so after it: a search then skips to places that can begin a match.
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*(?:\.[0-9]+){3}")  # a match can only start where a run of digits does
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
@@ -50,13 +51,13 @@ _TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señ
 #: Common given names in the four languages of the corpus.
 GIVEN = frozenset("Alice Andreas Anna Antoine Antonio Carlos Carmen Charles Claire Daniel David Elena Elizabeth Emma Francisco François Hans Heinrich Isabel James Jean Jennifer John José Juan Julia Jürgen Karl Laura Linda Louis Luis Manuel Maria María Marie Mary Michael Michel Nathalie Patricia Paul Pedro Peter Philippe Pierre Robert Sarah Sophie Stefan Susan Thomas Ursula William Wolfgang".split())
 _NAME = re.compile(rf"\b(?:(?:{'|'.join(_TITLES)})\.? [A-ZÀ-Þ][a-zß-ÿ]{{1,30}}(?: [A-ZÀ-Þ][a-zß-ÿ]{{1,30}})?|(?:{'|'.join(sorted(GIVEN))}) [A-ZÀ-Þ][a-zß-ÿ]{{1,30}})\b")
-_CAPITALISED = re.compile(r"(?<!\w)[A-ZÀ-Þ][a-zß-ÿ]+")
+_CAPITALISED = re.compile(r"[A-ZÀ-Þ](?<!\w[A-ZÀ-Þ])[a-zß-ÿ]+")
 _OPENERS = GIVEN.union(_TITLES)
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{2,63}){1,4}")
 _SPELLED_HINT = re.compile(r"[(\[{]dot[)\]}]| dot ")
-_LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-_NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
+_LOCAL_PHONE = re.compile(r"[(0-9](?<![0-9+.-][(0-9])(?:(?<=\()[0-9]{3}|(?<=[0-9])[0-9]{2})\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])")
+_NATIONAL = re.compile(r"[0-9](?<![0-9-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+_IBAN = re.compile(r"[A-Z](?<![A-Z0-9][A-Z])[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
 
 _FOR = {
     "spelled_email": "mail email e-mail contact write kontakt correo courriel",
@@ -115,11 +116,13 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int]]:
-    if _SPELLED_HINT.search(text):
+    if "dot" in text and _SPELLED_HINT.search(text):
         yield from (("spelled_email", *m.span()) for m in _SPELLED.finditer(text))
     yield from (("local_phone", *m.span()) for m in _LOCAL_PHONE.finditer(text))
     yield from (("national_id", *m.span()) for m in _NATIONAL.finditer(text))
     yield from (("iban", *m.span()) for m in _IBAN.finditer(text))
+    if _OPENERS.isdisjoint(_CAPITALISED.findall(text)):
+        return
     at = 0
     for word in _CAPITALISED.finditer(text):
         if word.start() >= at and word.group() in _OPENERS and (m := _NAME.match(text, word.start())):
