@@ -39,7 +39,9 @@ _ASSIGN = re.compile(r"""(?ai:(?:password|passwd|secret|token|api_?key)["']? *[:
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
-_WORD = re.compile(r"[A-Za-z0-9_+/-]+")
+#: Names of the assign pattern, one of which a text must hold; a space for what is no part of a word.
+_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_WORDS = bytes(c if re.match(r"(?a:[A-Za-z0-9_+/-])", chr(c)) else 32 for c in range(256))
 
 ALPHABET = string.ascii_letters + string.digits + "+/_-="
 SIZE = len(ALPHABET) + 1  # and a place before the first character
@@ -48,7 +50,10 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, SIZE)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
+    lowered = text.lower()
+    out = []
+    if any(name in lowered for name in _NAMES):
+        out += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
     out += [("access", *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
     return out
@@ -86,6 +91,11 @@ def generated(seed: int = 7, n: int = GENERATED) -> list[str]:
 _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+def words_in(text: str) -> list[str]:
+    """Runs of [A-Za-z0-9_+/-]."""
+    return text.encode("latin-1", "replace").translate(_WORDS).decode("ascii").split()
+
+
 def parts(text: str, base: list[tuple[str, int, int]]) -> tuple[list[str], list[str]]:
     """(labelled secrets, words outside base spans); base spans come by start."""
     values: list[str] = []
@@ -93,10 +103,10 @@ def parts(text: str, base: list[tuple[str, int, int]]) -> tuple[list[str], list[
     at = 0
     for kind, lo, hi in base:
         if lo >= at:
-            words += _WORD.findall(text[at:lo])
+            words += words_in(text[at:lo])
             values.append(_ASSIGN.match(text, lo).group(1) if kind == "assign" else text[lo:hi])
         at = max(at, hi)
-    words += _WORD.findall(text[at:])
+    words += words_in(text[at:])
     return values, words
 
 
