@@ -203,6 +203,11 @@ class VectorIndex:
         self._open()
         return self.spark.createDataFrame([(c, int(n)) for c, n in enumerate(self.sizes)], "cid int, n long")
 
+    def placed(self) -> DataFrame:
+        """(cid, id, place) of all rows, numbered from 1 in the order of their posting, which is that of ids."""
+        self._open()
+        return store.placed(self.postings, self.sizes)
+
     def info(self) -> dict:
         return {**self.manifest, **backend()}
 

@@ -228,9 +228,8 @@ def empty_cluster_reseed(spark, sf_dir):
 
 
 def posting_order(spark, sf_dir):
-    """Rows in the order in which a posting holds them: that of the input."""
-    rows = index_of(spark, sf_dir).postings.select("cid", "id", F.monotonically_increasing_id().alias("at"))
-    return rows.select("cid", "id", F.row_number().over(Window.partitionBy("cid").orderBy("at")).alias("place"))
+    """Rows in the order in which a posting holds them: that of their ids."""
+    return index_of(spark, sf_dir).placed()
 
 
 LIMITS = ((0, 3), (-1, 3), (3, 0), (3, -5), (3, 99), (1_000_000_000, 1), (1_000_000_000, 99))

@@ -6,6 +6,7 @@ import os
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +281,25 @@ def test_thousands_of_large_clusters_are_dealt(spark, tmp_path, monkeypatch):
     assert (store.posting_sizes(back, 6) == 10).all() and back.agg(F.sum("id")).first()[0] == sum(range(60))
 
 
+def test_postings_hold_rows_by_id_in_pieces_too(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000, numPartitions=3).selectExpr("(id * 7919) % 3001 - 1500 as id", "array(1f) v", "id pos", "cast(null as string) metadata", "cast(if(id % 10 < 7, 0, id % 3 + 1) as int) cid")
+    want = {}
+    for r in sorted(rows.select("cid", "id").collect()):
+        want.setdefault(r.cid, []).append(r.id)
+    sizes = np.array([len(want[c]) for c in sorted(want)])
+    assert sizes[0] == 2100 and (sizes[1:] <= 310).all()
+    expected = sorted((c, i, n + 1) for c, ids in want.items() for n, i in enumerate(ids))
+    for case, (file_rows, limit) in enumerate([(1 << 20, 1 << 20), (400, 1 << 20), (400, 0), (50, 1 << 20)]):  # no large cluster, one, one without a broadcast, four
+        monkeypatch.setattr(store, "FILE_ROWS", file_rows)
+        monkeypatch.setattr(store, "BROADCAST_BYTES", limit)
+        store.write_postings(rows, sizes, f"{tmp_path}/{case}/postings")
+        files = [pq.read_table(p, columns=["id"], partitioning=None)["id"].to_pylist() for p in (tmp_path / str(case)).rglob("*.parquet")]
+        assert all(f == sorted(f) for f in files) and sum(map(len, files)) == 3000
+        found = store.placed(store.read_postings(spark, f"{tmp_path}/{case}"), sizes)
+        assert found.dtypes == [("cid", "int"), ("id", "bigint"), ("place", "int")]
+        assert sorted(map(tuple, found.collect())) == expected
+
+
 def test_a_pass_sends_a_row_per_cluster(spark):
     rng = np.random.default_rng(8)
     centroids = kernels.unit(rng.normal(size=(4096, 768))).astype(np.float32).astype(float)
